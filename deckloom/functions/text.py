@@ -44,10 +44,7 @@ def resolve_target(source_part: Column, target: Column) -> Column:
         up = F.when(can_pop, popped).when(rooted, done).otherwise(F.array_append(done, part))
         return F.when(part == "..", up).otherwise(F.array_append(done, part))
 
-    folded = F.aggregate(
-        steps, F.lit([]).cast("array<string>"), lambda done, part: F.try_element_at(
-            F.array(step(done, part)), F.lit(1))
-    )
+    folded = F.aggregate(steps, F.array().cast("array<string>"), step)
     return F.array_join(folded, "/")
 
 

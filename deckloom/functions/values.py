@@ -20,6 +20,12 @@ def clamp01(value: Column) -> Column:
     return clamp(value, 0.0, 1.0)
 
 
+def round_up(value: Column, places: int) -> Column:
+    """Round half up on the scaled value, floor(v * 10^p + 0.5) / 10^p."""
+    factor = float(10**places)
+    return F.floor(value * factor + 0.5) / F.lit(factor)
+
+
 def emu_to_pt(emu: Column) -> Column:
     return F.round(emu / F.lit(EMU_PER_POINT), 4)
 

@@ -1,6 +1,6 @@
 """Registered queries and their checking SQL."""
 
 from deckloom.plans.registry import CHECKS, QUERIES
-from deckloom.plans import scalars  # noqa: F401
+from deckloom.plans import catalog_queries, layout_queries, scalars  # noqa: F401
 
 __all__ = ["CHECKS", "QUERIES"]
