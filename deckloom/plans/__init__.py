@@ -1,6 +1,7 @@
 """Registered queries and their checking SQL."""
 
 from deckloom.plans.registry import CHECKS, QUERIES
-from deckloom.plans import catalog_queries, layout_queries, scalars  # noqa: F401
+from deckloom.plans import (  # noqa: F401
+    catalog_queries, content_queries, eval_queries, layout_queries, scalars)
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -123,4 +123,4 @@ def check_sql(views: str, ctes: str, final: str) -> str:
         parts.append(f"{name} AS ({re.sub(r'[{}]', '', text)})")
     if ctes.strip():
         parts.append(ctes.strip())
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final.strip()
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final.strip()
