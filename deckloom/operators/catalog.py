@@ -76,21 +76,28 @@ def exact_duplicates(items: DataFrame, id_col: str, digest: Column) -> DataFrame
 
 
 def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", block: str | None = None,
-                    radius: int = NEAR_BITS, shared_bands: int = 1, bits: int = 64) -> DataFrame:
-    """For each item the lowest existing id whose hash is within ``radius`` bits (same ``block``).
+                    radius: int = NEAR_BITS, shared_bands: int = 1, bits: int = 64,
+                    catalog: DataFrame | None = None) -> DataFrame:
+    """For each item the first existing id whose hash is within ``radius`` bits (same ``block``).
+
+    Existing are the rows of ``catalog`` and the items with a lower id, in that order; a missing
+    hash matches nothing.
 
     Pigeonhole banding, exact for any radius: with radius + m bands at least m of them are equal,
     so every set of m bands is a join key (``shared_bands`` = m; a larger m makes rarer keys).
-    Only distinct hashes are joined: copies of one hash are one row with its lowest id, and the
+    Only distinct hashes are joined: copies of one hash are one row with its first id, and the
     join result is reduced to one minimum per hash before the items come back in.
     """
     blocks = [block] if block else []
-    known = items.filter(c(hash_col).isNotNull() & (c(hash_col) != ""))
-    hashes = known.groupBy(*blocks, c(hash_col).alias("h")).agg(F.min(id_col).alias("low"))
+    cols = [*blocks, id_col, hash_col]
+    known = items.filter(c(hash_col).isNotNull() & (c(hash_col) != "")).select(*cols, F.lit(1).alias("_age"))
+    everyone = known if catalog is None else known.unionByName(
+        catalog.filter(c(hash_col).isNotNull() & (c(hash_col) != "")).select(*cols, F.lit(0).alias("_age")))
+    hashes = everyone.groupBy(*blocks, c(hash_col).alias("h")).agg(
+        F.min(F.struct("_age", c(id_col).alias("id"))).alias("low"))
     n = radius + shared_bands
     edges = [round(i * bits / n) for i in range(n + 1)]
-    digits = F.conv(c("h"), 16, 2)
-    padded = F.lpad(digits, bits, "0")
+    padded = F.concat(*[F.lpad(F.conv(F.substring(c("h"), i, 8), 16, 2), 32, "0") for i in (1, 9)])
     banded = hashes.withColumn("bands", F.array(*[
         F.substring(padded, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(n)]))
     sets = list(combinations(range(n), shared_bands))
@@ -101,8 +108,8 @@ def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", bloc
     close = left.join(right, [*blocks, "band"]).filter(vl.hamming_hex(c("h"), c("other")) <= radius)
     earliest = close.groupBy(*blocks, "h").agg(F.min(F.struct("low", "other")).alias("hit"))
     return (known.join(earliest.withColumnRenamed("h", hash_col), [*blocks, hash_col])
-            .filter(c("hit.low") < c(id_col))
-            .select(*blocks, id_col, c("hit.low").alias("existing_id"),
+            .filter(c("hit.low") < F.struct("_age", c(id_col).alias("id")))
+            .select(*blocks, id_col, c("hit.low.id").alias("existing_id"),
                     vl.hamming_hex(c(hash_col), c("hit.other")).alias("distance")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,16 +28,20 @@ def local_session(cores: int = 8, app_name: str = "deckloom") -> SparkSession:
     return spark
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="deckloom-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: there every task
-    runs on this machine.
+    Where the setting is absent, only a local master may go on with a temporary folder: there
+    every task runs on this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="deckloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
