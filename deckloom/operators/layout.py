@@ -121,7 +121,7 @@ def clamp_to_canvas(elements: DataFrame, width: float, height: float, keep_dropp
     out = out.withColumns({"_rw": c("_w") * cos + c("_h") * sin, "_rh": c("_w") * sin + c("_h") * cos,
                            "_cx": c("_l") + c("_w") / 2, "_cy": c("_t") + c("_h") / 2})
     turned = F.coalesce(c("rotation_deg").cast("double"), zero) != 0
-    out = out.withColumn("_fit", F.when(turned, F.least(F.lit(1.0), w / c("_rw"), h / c("_rh"))).otherwise(1.0))
+    out = out.withColumn("_fit", F.when(turned, F.least(F.lit(1.0), F.try_divide(w, c("_rw")), F.try_divide(h, c("_rh")))).otherwise(1.0))
     out = out.withColumns({"_fw": c("_w") * c("_fit"), "_fh": c("_h") * c("_fit"),
                            "_left": c("_cx") - c("_rw") * c("_fit") / 2,
                            "_right": c("_cx") + c("_rw") * c("_fit") / 2,
@@ -144,13 +144,13 @@ def clamp_to_canvas(elements: DataFrame, width: float, height: float, keep_dropp
     if {"source_x", "source_y", "source_width", "source_height"} <= have:
         image = (c("kind") == "image") & c("_cut")
         final |= {
-            "source_x": F.when(image, c("source_x") + (c("_l") - c("x")) / c("width") * c("source_width"))
+            "source_x": F.when(image, c("source_x") + F.try_divide(c("_l") - c("x"), c("width")) * c("source_width"))
             .otherwise(c("source_x").cast("double")),
-            "source_y": F.when(image, c("source_y") + (c("_t") - c("y")) / c("height") * c("source_height"))
+            "source_y": F.when(image, c("source_y") + F.try_divide(c("_t") - c("y"), c("height")) * c("source_height"))
             .otherwise(c("source_y").cast("double")),
-            "source_width": F.when(image, c("_w") / c("width") * c("source_width"))
+            "source_width": F.when(image, F.try_divide(c("_w"), c("width")) * c("source_width"))
             .otherwise(c("source_width").cast("double")),
-            "source_height": F.when(image, c("_h") / c("height") * c("source_height"))
+            "source_height": F.when(image, F.try_divide(c("_h"), c("height")) * c("source_height"))
             .otherwise(c("source_height").cast("double")),
         }
     if {"x1", "y1", "x2", "y2"} <= have:
@@ -180,7 +180,7 @@ def canvas_overflow(shapes: DataFrame, width: float, height: float, tolerance: f
 
 def aspect_violations(slides: DataFrame, width: float, height: float) -> DataFrame:
     """Slides whose width/height ratio is more than 0.02 away from the target's."""
-    gap = F.abs(c("source_width") / c("source_height") - F.lit(width / height))
+    gap = F.abs(F.try_divide(c("source_width"), c("source_height")) - F.lit(width / height))
     return slides.filter(gap > 0.02)
 
 
@@ -194,7 +194,7 @@ def scale_to_canvas(elements: DataFrame, width: float, height: float) -> DataFra
     both = F.least(sx, sy)
     factors = {"x": sx, "width": sx, "x1": sx, "x2": sx, "y": sy, "height": sy, "y1": sy, "y2": sy,
                "font_size_pt": both, "margin_px": both, "corner_radius": both, "stroke_width_px": both}
-    gap = F.abs(c("source_width") / c("source_height") - F.lit(width / height))
+    gap = F.abs(F.try_divide(c("source_width"), c("source_height")) - F.lit(width / height))
     fitting = elements.filter(gap <= 0.02)
     return fitting.withColumns({n: c(n) * f for n, f in factors.items() if n in elements.columns})
 
@@ -249,7 +249,7 @@ def visual_role(kind: Column, x: Column, y: Column, w: Column, h: Column,
 
 
 def size_class(width: Column, height: Column) -> Column:
-    ratio = width / height
+    ratio = F.try_divide(width, height)
     valid = (width > 0) & (height > 0)
     return (
         F.when(~F.coalesce(valid, F.lit(False)), "landscape")

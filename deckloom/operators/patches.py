@@ -173,7 +173,8 @@ def patch_plan_violations(ops: DataFrame, shapes: DataFrame, selected: DataFrame
         c("_taken").isNotNull() | (c("_first") < c("op_seq")))
     known = c("_t").isNotNull()
     logo = tx.casefold(F.concat_ws(" ", c("_t.name"), c("_t.text"))).contains("logo")
-    before, after = c("_t.w_pt") / c("_t.h_pt"), c("width_pt") / c("height_pt")
+    before = F.try_divide(c("_t.w_pt"), c("_t.h_pt"))
+    after = F.try_divide(c("width_pt"), c("height_pt"))
     sized = c("_t.w_pt").isNotNull() & c("_t.h_pt").isNotNull() & c("width_pt").isNotNull() & c("height_pt").isNotNull()
     rules = [
         ("unselected_slide", c("_sel").isNull()),
@@ -186,7 +187,7 @@ def patch_plan_violations(ops: DataFrame, shapes: DataFrame, selected: DataFrame
             ("logo_restyled", known & logo & c("action").isin(LOGO_ACTIONS)),
             ("logo_size_missing", known & logo & (c("action") == "resize") & ~sized),
             ("logo_aspect_changed", known & logo & (c("action") == "resize") & sized
-             & (F.abs(before - after) / before > LOGO_ASPECT)),
+             & (F.try_divide(F.abs(before - after), before) > LOGO_ASPECT)),
         ]
     found = rule_rows(facts, [slide, "op_seq"], rules).unionByName(
         reuse.select(slide, "op_seq", F.lit("new_id_exists").alias("rule")))

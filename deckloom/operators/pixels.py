@@ -472,7 +472,7 @@ def ramp_lookup(stops: DataFrame, profile: DataFrame, keys: list[str], channels:
     spans = spans.select(*keys, c("progress").alias("_p0"), "_p1", "_first", *[c(n).alias(f"_c_{n}") for n in channels],
                          *[f"_n_{n}" for n in channels])
     hit = ((c("position") >= c("_p0")) | c("_first")) & (c("_p1").isNull() | (c("position") < c("_p1")))
-    part = vl.clamp01((c("position") - c("_p0")) / (c("_p1") - c("_p0")))
+    part = vl.clamp01(F.try_divide(c("position") - c("_p0"), c("_p1") - c("_p0")))
     found = stops.join(spans, keys).filter(hit)
     return found.select(*stops.columns, *[
         F.when(c("_p1").isNull() | (c("position") <= c("_p0")), c(f"_c_{n}").cast("double"))

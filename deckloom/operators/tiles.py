@@ -21,34 +21,31 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """Stored copy of ``df`` with a compact bigint ``key``; stored, so that the numbers stay put."""
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), purpose)
+
+
 def tiled_top_k(source: DataFrame, catalog: DataFrame, source_key: str, catalog_key: str,
-                score: Callable[[pd.DataFrame, pd.DataFrame], "pd.DataFrame"], schema: str,
+                score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                 tile_rows: int = TILE_ROWS) -> DataFrame:
     """Score every source row against every catalog row without ever emitting all pairs.
 
-    Both tables must hold distinct signatures, so copies never multiply work. Each side is
-    hashed into tiles of about ``tile_rows`` rows; a task gets one source tile and one catalog
-    tile and returns only that tile's best rows, which the caller reduces once more. Task
-    memory depends on ``tile_rows`` alone, and nothing passes through the driver but the two
-    row counts.
+    Both tables are stored ones (see ``numbered``) of distinct signatures, so copies never
+    multiply work. Each side is hashed into tiles of about ``tile_rows`` rows; a task gets one
+    source tile and one catalog tile and returns only that tile's best rows, which the caller
+    reduces once more. Task memory depends on ``tile_rows`` alone, and nothing passes through
+    the driver but the two row counts.
     """
-    left, right = materialize(source, "match-source"), materialize(catalog, "match-catalog")
-    n_left = max(1, math.ceil(left.count() / tile_rows))
-    n_right = max(1, math.ceil(right.count() / tile_rows))
-    cores = left.sparkSession.sparkContext.defaultParallelism
-    # More source tiles than needed for memory keep all cores busy against a small catalog.
-    n_left = max(n_left, math.ceil(cores / n_right))
+    n_left = max(1, math.ceil(source.count() / tile_rows))
+    n_right = max(1, math.ceil(catalog.count() / tile_rows))
+    # More source tiles than memory asks for keep all cores busy against a small catalog.
+    n_left = max(n_left, math.ceil(source.sparkSession.sparkContext.defaultParallelism / n_right))
 
     def tile(df: DataFrame, key: str, parts: int, own: str, other: str, others: int) -> DataFrame:
         spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn(other, spread)
 
-    a = tile(left, source_key, n_left, "_a", "_b", n_right)
-    b = tile(right, catalog_key, n_right, "_b", "_a", n_left)
-
-    def one_tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if len(x) == 0 or len(y) == 0:
-            return score(x.head(0), y.head(0))
-        return score(x, y)
-
-    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(one_tile, schema)
+    a = tile(source, source_key, n_left, "_a", "_b", n_right)
+    b = tile(catalog, catalog_key, n_right, "_b", "_a", n_left)
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(score, schema)
