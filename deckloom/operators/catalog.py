@@ -76,12 +76,12 @@ def exact_duplicates(items: DataFrame, id_col: str, digest: Column) -> DataFrame
 
 
 def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", block: str | None = None,
-                    radius: int = NEAR_BITS, shared_bands: int = 1, bits: int = 64,
+                    radius: int = NEAR_BITS, shared_bands: int = 2, bits: int = 64,
                     catalog: DataFrame | None = None) -> DataFrame:
     """For each item the first existing id whose hash is within ``radius`` bits (same ``block``).
 
     Existing are the rows of ``catalog`` and the items with a lower id, in that order; a missing
-    hash matches nothing.
+    hash matches nothing. ``bits`` is the number of hash bits in use, counted from the right.
 
     Pigeonhole banding, exact for any radius: with radius + m bands at least m of them are equal,
     so every set of m bands is a join key (``shared_bands`` = m; a larger m makes rarer keys).
@@ -96,21 +96,23 @@ def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", bloc
     hashes = everyone.groupBy(*blocks, c(hash_col).alias("h")).agg(
         F.min(F.struct("_age", c(id_col).alias("id"))).alias("low"))
     n = radius + shared_bands
-    edges = [round(i * bits / n) for i in range(n + 1)]
+    edges = [64 - bits + round(i * bits / n) for i in range(n + 1)]
     padded = F.concat(*[F.lpad(F.conv(F.substring(c("h"), i, 8), 16, 2), 32, "0") for i in (1, 9)])
-    banded = hashes.withColumn("bands", F.array(*[
-        F.substring(padded, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(n)]))
+    banded = hashes.withColumns({
+        "bands": F.array(*[F.substring(padded, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(n)]),
+        "hi": _half(c("h"), True), "lo": _half(c("h"), False)})
     sets = list(combinations(range(n), shared_bands))
     keys = F.array(*[F.concat_ws(":", F.lit(str(k)), *[c("bands")[i] for i in s]) for k, s in enumerate(sets)])
-    spread = banded.select(*blocks, "h", "low", F.explode(keys).alias("band"))
-    left = spread.select(*blocks, "band", "h")
-    right = spread.select(*blocks, "band", c("h").alias("other"), "low")
-    close = left.join(right, [*blocks, "band"]).filter(vl.hamming_hex(c("h"), c("other")) <= radius)
-    earliest = close.groupBy(*blocks, "h").agg(F.min(F.struct("low", "other")).alias("hit"))
-    return (known.join(earliest.withColumnRenamed("h", hash_col), [*blocks, hash_col])
+    spread = banded.select(*blocks, "hi", "lo", "low", F.explode(keys).alias("band"))
+    left = spread.select(*blocks, "band", "hi", "lo")
+    right = spread.select(*blocks, "band", c("hi").alias("hi2"), c("lo").alias("lo2"), "low")
+    gap = F.bit_count(c("hi").bitwiseXOR(c("hi2"))) + F.bit_count(c("lo").bitwiseXOR(c("lo2")))
+    close = left.join(right, [*blocks, "band"]).withColumn("gap", gap).filter(c("gap") <= radius)
+    earliest = close.groupBy(*blocks, "hi", "lo").agg(F.min(F.struct("low", "gap")).alias("hit"))
+    placed = known.withColumns({"hi": _half(c(hash_col), True), "lo": _half(c(hash_col), False)})
+    return (placed.join(earliest, [*blocks, "hi", "lo"])
             .filter(c("hit.low") < F.struct("_age", c(id_col).alias("id")))
-            .select(*blocks, id_col, c("hit.low.id").alias("existing_id"),
-                    vl.hamming_hex(c(hash_col), c("hit.other")).alias("distance")))
+            .select(*blocks, id_col, c("hit.low.id").alias("existing_id"), c("hit.gap").alias("distance")))
 
 
 def active_template_slides(slides: DataFrame, templates: DataFrame, families: DataFrame) -> DataFrame:

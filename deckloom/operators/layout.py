@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deckloom.functions import values as vl
@@ -375,8 +375,6 @@ def page_assign(shapes: DataFrame, page_w: float, page_h: float, allow_split: bo
     step = step.withColumns({"action": action, "resized": c("_tall") & ~c("_gone"),
                              "y": F.when(c("_over") & ~c("_gone"), vl.round_up(moved, 4)).otherwise(c("y"))})
     # At most 202 pages per slide, so the numbering below is small however many shapes there are.
-    from pyspark.sql import Window
-
     pages = step.filter(c("_page").isNotNull()).select(slide_key, "_page").distinct()
     numbered = pages.withColumn("page", (F.row_number().over(
         Window.partitionBy(slide_key).orderBy("_page")) - 1).cast("bigint"))

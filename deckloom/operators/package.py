@@ -127,14 +127,17 @@ def portable_fonts(runs: DataFrame, font: str = "font_family") -> DataFrame:
 def fingerprint(rows: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
     """Order-free hash of the rows of each key.
 
-    The row digests are summed in four 64-bit words, so a key with very many rows combines
-    before the shuffle in place of being collected and sorted. Equal multisets, equal hash.
+    The row digests are summed in eight 28-bit words (no overflow below 2^35 rows), so a key with
+    very many rows combines before the shuffle in place of being collected and sorted. Equal
+    multisets, equal hash.
     """
     digest = F.sha2(F.to_json(F.struct(*parts)), 256)
-    words = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    hashed = rows.select(*keys, digest.alias("_d"))
+    words = [F.conv(F.substring("_d", 1 + 8 * i, 7), 16, 10).cast("bigint") for i in range(8)]
+    sums = hashed.groupBy(*keys).agg(
+        F.count("*").alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
     return sums.select(*keys, F.sha2(F.concat_ws(
-        ":", c("_n").cast("string"), *[c(f"_w{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
+        ":", c("_n").cast("string"), *[c(f"_w{i}").cast("string") for i in range(8)]), 256).alias("fingerprint"))
 
 
 def protected_relationships(rels: DataFrame, parts: DataFrame, deck: str = "deck_id") -> DataFrame:

@@ -368,10 +368,9 @@ def merge_section_operations(ops: DataFrame, op: str = "op_id") -> DataFrame:
 
 
 def merge_summaries(plans: DataFrame, deck: str, order: str) -> DataFrame:
-    """Distinct plan summaries of a deck joined in first-use order."""
-    first = plans.groupBy(deck, "summary").agg(F.min(order).alias("_o"))
-    return first.groupBy(deck).agg(F.array_sort(F.collect_list(F.struct("_o", "summary"))).alias("_s")).select(
-        deck, F.array_join(F.transform("_s", lambda s: s.summary), " | ").alias("summary"))
+    """Distinct plan summaries of a deck, each with its first plan; one row per summary, so that
+    a deck with very many plans is never put together in one task."""
+    return plans.groupBy(deck, "summary").agg(F.min(order).alias("first_plan"))
 
 
 def merge_protected(plans: DataFrame, deck: str, order: str) -> DataFrame:

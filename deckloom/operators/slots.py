@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckloom.operators.tiles import materialize
+
 c = F.col
 
 # Slots of the built-in templates and the element types each slot kind takes.
@@ -64,6 +66,8 @@ def slot_assignment_violations(plans: DataFrame, outputs: DataFrame, assignments
     rows_in = assignments.join(known_outs.select(slide, "output_no", "template_id"), [slide, "output_no"])
     rows_in = rows_in.join(content, [slide, "element_id"], "left").join(
         slots.select("template_id", "slot_id", "types"), ["template_id", "slot_id"], "left")
+    # Stored once: a dozen rules below read it.
+    rows_in = materialize(rows_in, "slot-plan")
     no_element, no_slot = c("type").isNull(), c("types").isNull()
     misfit = ~F.array_contains(c("types"), c("type"))
     found += [rows(rows_in.filter(no_element), "unknown_element", c("element_id")),

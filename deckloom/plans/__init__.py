@@ -2,7 +2,7 @@
 
 from deckloom.plans.registry import CHECKS, QUERIES
 from deckloom.plans import (  # noqa: F401
-    catalog_queries, content_queries, eval_queries, layout_queries, patch_queries, pixel_queries,
+    catalog_queries, content_queries, eval_queries, layout_queries, package_queries, patch_queries, pixel_queries,
     scalars, stream_queries)
 
 __all__ = ["CHECKS", "QUERIES"]

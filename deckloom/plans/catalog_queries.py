@@ -20,7 +20,7 @@ def jn01(t):
 
 HASH_CTE = """bt AS (SELECT image_id, x, y, gray, lag(gray) OVER (PARTITION BY image_id, y ORDER BY x) AS lft FROM fx_pixel),
 ph AS (SELECT image_id, string_agg(CASE WHEN gray >= lft THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM bt WHERE x > 0 GROUP BY 1),
-hx AS (SELECT image_id, bits, '00' || lower(hex(bits::BIT::BLOB)[3:]) AS raw, lpad(lower(to_hex(bits::BIT::BIGINT)), 16, '0') AS phash FROM (SELECT image_id, lpad(bits, 64, '0') AS bits FROM ph))"""
+hx AS (SELECT image_id, bits, lpad(lower(to_hex(bits::BIT::BIGINT)), 16, '0') AS phash FROM (SELECT image_id, lpad(bits, 64, '0') AS bits FROM ph))"""
 
 
 @query("ag03_dhash", "fx_pixel", HASH_CTE, "SELECT image_id, phash FROM hx")
@@ -45,7 +45,7 @@ def ag04(t):
 pr AS (SELECT a.image_id, b.image_id AS existing_id, bit_count(xor(a.bits::BIT, b.bits::BIT)) AS distance FROM hx a JOIN hx b ON b.image_id < a.image_id)""", """
 SELECT image_id, min(existing_id) AS existing_id, CAST(arg_min(distance, existing_id) AS INTEGER) AS distance FROM pr WHERE distance <= 12 GROUP BY 1""")
 def jn02(t):
-    return cat.near_duplicates(cat.dhash(t.fx_pixel, width=8, height=8), "image_id", radius=12)
+    return cat.near_duplicates(cat.dhash(t.fx_pixel, width=8, height=8), "image_id", radius=12, bits=56)
 
 
 @query("jn04_active_template_slides", "fx_shape", "s AS (SELECT DISTINCT slide_id, deck_id AS template_id, deck_id % 20 AS family_id FROM fx_shape)", """

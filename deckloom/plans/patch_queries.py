@@ -160,8 +160,8 @@ def jn09(t):
         F.round("layer", 6).alias("layer"), F.round("font_size_pt", 6).alias("font_size_pt"))
 
 
-@query("ag28_merge_summaries", "fx_shape", """f AS (SELECT deck_id, name AS summary, min(slide_id) AS o FROM fx_shape GROUP BY 1, 2)""", """
-SELECT deck_id, string_agg(summary, ' | ' ORDER BY o, summary) AS summary FROM f GROUP BY 1""")
+@query("ag28_merge_summaries", "fx_shape", "", """
+SELECT deck_id, name AS summary, min(slide_id) AS first_plan FROM fx_shape GROUP BY 1, 2""")
 def ag28(t):
     return pt.merge_summaries(t.fx_shape.select("deck_id", "slide_id", c("name").alias("summary")), "deck_id", "slide_id")
 
@@ -214,3 +214,33 @@ def jn15(t):
     plans = planned.withColumn("strategy", F.lit("reflow"))
     outs = planned.select("slide_id", F.lit(0).alias("output_no"), F.lit("image_left_text_right").alias("template_id"))
     return sl.slot_assignment_violations(plans, outs, asg, els, sl.template_slots(t.spark))
+
+
+@query("ag28_merge_protected", "fx_shape", """p AS (SELECT deck_id, slide_id, unnest([fill_color, name]) AS protected_id, unnest([0, 1]) AS p FROM fx_shape WHERE kind = 'pic')""", """
+SELECT deck_id, protected_id, min(slide_id) AS first_plan FROM p GROUP BY 1, 2""")
+def ag28c(t):
+    plans = t.fx_shape.filter("kind = 'pic'").select("deck_id", "slide_id", F.array("fill_color", "name").alias("protected_ids"))
+    return pt.merge_protected(plans, "deck_id", "slide_id").select("deck_id", "protected_id", "first_plan")
+
+
+@query("se07_sections_apply", "fx_shape_key", """d AS (SELECT slide_id AS deck_id, count(*) AS n, min(font_pt) % 5 AS k FROM fx_shape_key GROUP BY 1)""", """
+SELECT deck_id, unnest(list_filter([CASE WHEN n > 2 AND k <> 0 THEN 'Rest' WHEN n > 2 THEN 'Tail' END, CASE WHEN k <> 1 THEN 'Intro' END], lambda r: r IS NOT NULL)) AS name,
+ unnest(list_filter([CASE WHEN n > 2 THEN n - 2 END, CASE WHEN k <> 1 THEN least(n, 2) END], lambda r: r IS NOT NULL)) AS slide_count FROM d""")
+def se07(t):
+    """Every slide of fx_shape is a deck here, its shapes are the slides: one section, then changes."""
+    d = t.fx_shape_key.groupBy("slide_id").agg(F.count("*").alias("n"), (F.min("font_pt") % 5).alias("k")).select(
+        c("slide_id").alias("deck_id"), "n", "k")
+    first = F.sequence(F.lit(1).cast("bigint"), F.least(c("n"), F.lit(2)))
+    sections = d.select("deck_id", F.lit(0).alias("position"), F.lit("Rest").alias("name"),
+                        F.sequence(F.lit(1).cast("bigint"), c("n")).alias("slides"))
+    none = F.array().cast("array<bigint>")
+    steps = [(1, F.lit(True), "add", "Intro", None, first), (2, c("k") == 0, "rename", "rest", "Tail", none),
+             (3, c("k") == 1, "remove", "INTRO", None, none), (4, c("k") == 2, "add", "intro", None, first)]
+    plan = None
+    for seq, cond, action, name, new, slides in steps:
+        part = d.filter(cond).select(
+            "deck_id", F.lit(seq).cast("bigint").alias("op_seq"), F.lit(action).alias("action"), F.lit(name).alias("name"),
+            F.lit(new).cast("string").alias("new_name"), slides.alias("slides"))
+        plan = part if plan is None else plan.unionByName(part)
+    out, _ = pt.sections_apply(sections, plan)
+    return out.select("deck_id", "name", F.size("slides").cast("bigint").alias("slide_count"))
