@@ -101,8 +101,8 @@ def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", bloc
     banded = hashes.withColumns({
         "bands": F.array(*[F.substring(padded, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(n)]),
         "hi": _half(c("h"), True), "lo": _half(c("h"), False)})
-    sets = list(combinations(range(n), shared_bands))
-    keys = F.array(*[F.concat_ws(":", F.lit(str(k)), *[c("bands")[i] for i in s]) for k, s in enumerate(sets)])
+    sets = F.lit([list(s) for s in combinations(range(n), shared_bands)])
+    keys = F.transform(sets, lambda s, k: F.concat_ws(":", k.cast("string"), F.transform(s, lambda i: c("bands")[i])))
     spread = banded.select(*blocks, "hi", "lo", "low", F.explode(keys).alias("band"))
     left = spread.select(*blocks, "band", "hi", "lo")
     right = spread.select(*blocks, "band", c("hi").alias("hi2"), c("lo").alias("lo2"), "low")

@@ -45,7 +45,7 @@ def ag04(t):
 pr AS (SELECT a.image_id, b.image_id AS existing_id, bit_count(xor(a.bits::BIT, b.bits::BIT)) AS distance FROM hx a JOIN hx b ON b.image_id < a.image_id)""", """
 SELECT image_id, min(existing_id) AS existing_id, CAST(arg_min(distance, existing_id) AS INTEGER) AS distance FROM pr WHERE distance <= 12 GROUP BY 1""")
 def jn02(t):
-    return cat.near_duplicates(cat.dhash(t.fx_pixel, width=8, height=8), "image_id", radius=12, bits=56)
+    return cat.near_duplicates(cat.dhash(t.fx_pixel, width=8, height=8), "image_id", radius=12, shared_bands=1, bits=56)
 
 
 @query("jn04_active_template_slides", "fx_shape", "s AS (SELECT DISTINCT slide_id, deck_id AS template_id, deck_id % 20 AS family_id FROM fx_shape)", """

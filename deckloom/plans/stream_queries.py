@@ -60,8 +60,9 @@ def st03(t):
 
 
 @query("st05_ingest_templates", "documents", """d AS (SELECT doc_id, sha256(text) AS s, n_chars, lang FROM documents),
-f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1)""", """
-SELECT doc_id AS template_id, 'family-' || left(sha256(lang || ':1'), 16) AS family_id FROM f QUALIFY row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) = 1""")
+f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) = 1)""", """
+SELECT doc_id AS template_id, 'family-' || left(sha256(lang || ':1|' || min(doc_id) OVER (PARTITION BY lang)), 16) AS family_id FROM k""")
 def st05(t):
     from deckloom.streaming.templates import ingest_templates
 

@@ -46,10 +46,14 @@ def import_templates(new: DataFrame, slides: DataFrame, catalog: DataFrame | Non
     counts = own.groupBy("template_id", "archetype").agg(F.count("*").alias("_n"))
     signature = counts.groupBy("template_id").agg(F.array_join(F.array_sort(F.collect_list(
         F.concat_ws(":", "archetype", c("_n").cast("string")))), ",").alias("_sig"))
-    named = accepted.join(matched, "template_id", "left").join(signature, "template_id", "left")
+    named = accepted.join(matched, "template_id", "left").join(signature, "template_id", "left").withColumn(
+        "_sig", F.coalesce(c("_sig"), F.lit("")))
+    # A new family is named after its signature and its first deck, so it never takes an old name.
+    leaders = named.filter(c("family_id").isNull()).groupBy("_sig").agg(F.min("template_id").alias("_lead"))
     family = F.coalesce(c("family_id"), F.concat(F.lit("family-"), F.substring(
-        F.sha2(F.coalesce(c("_sig"), F.lit("")), 256), 1, 16)))
-    return named.select("template_id", "sha256", "phash", "slide_count", family.alias("family_id")), duplicates
+        F.sha2(F.concat_ws("|", c("_sig"), c("_lead").cast("string")), 256), 1, 16)))
+    return named.join(leaders, "_sig", "left").select(
+        "template_id", "sha256", "phash", "slide_count", family.alias("family_id")), duplicates
 
 
 def ingest_templates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

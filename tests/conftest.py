@@ -24,5 +24,6 @@ def table(spark):
 
 
 def rows(df, *cols):
-    """Sorted tuples of the given columns."""
-    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+    """Sorted tuples of the given columns, nulls last."""
+    return sorted((tuple(r) for r in df.select(*cols).collect()),
+                  key=lambda t: [(v is None, 0 if v is None else v) for v in t])
