@@ -229,12 +229,12 @@ def template_candidates(source: DataFrame, catalog: DataFrame, source_keys: list
         "_n", F.row_number().over(low)).filter(c("_n") <= k).join(
         cat_sigs.select("family_id", "signature", "sig"), ["family_id", "signature"]).select("sig", "template_slide_id")
     family_type = dict(catalog.dtypes)["family_id"]
-    tiles = tiled_top_k(
+    best_sigs = Window.partitionBy("source_sig", "family_id").orderBy(c("confidence").desc(), "first_id")
+    ranked = tiled_top_k(
         src_sigs.drop("signature"), cat_sigs.drop("signature"), "source_sig", "sig", _match_tile(k),
         f"source_sig bigint, family_id {family_type}, sig bigint, first_id bigint, "
-        "structural_score double, style_score double, confidence double")
-    best_sigs = Window.partitionBy("source_sig", "family_id").orderBy(c("confidence").desc(), "first_id")
-    ranked = tiles.withColumn("_n", F.row_number().over(best_sigs)).filter(c("_n") <= k).drop("_n", "first_id")
+        "structural_score double, style_score double, confidence double",
+        lambda df: df.withColumn("_n", F.row_number().over(best_sigs)).filter(c("_n") <= k).drop("_n")).drop("first_id")
     best = Window.partitionBy("source_sig", "family_id").orderBy(c("confidence").desc(), "template_slide_id")
     top = ranked.join(members, "sig").withColumn("match_rank", F.row_number().over(best)).filter(
         c("match_rank") <= k)
@@ -250,6 +250,8 @@ def top_matches(candidates: DataFrame, deck: str, slide: str) -> DataFrame:
     The family score is the mean of the best confidences, compared as exact integer sums
     (every family has a best for every slide of the deck); ties go to the lower family.
     """
+    # Stored, since the scores and the answer both read it and the comparison is the costly part.
+    candidates = materialize(candidates, "match-candidates")
     micro = F.round(c("confidence") * 1e6).cast("bigint")
     scores = candidates.filter(c("match_rank") == 1).groupBy(deck, "family_id").agg(F.sum(micro).alias("_s"))
     winner = scores.groupBy(deck).agg(F.min(F.struct((-c("_s")).alias("s"), "family_id")).alias("_w")).select(
@@ -322,7 +324,7 @@ def family_match(decks: DataFrame, families: DataFrame, deck: str,
                         "family-signatures")
     id_type = dict(families.dtypes)["family_id"]
     tiles = tiled_top_k(sigs.drop("signature"), fam_sigs.drop("signature"), "source_sig", "sig", _family_tile,
-                        f"source_sig bigint, family_id {id_type}, score double")
+                        f"source_sig bigint, family_id {id_type}, score double", lambda df: df)
     best = tiles.groupBy("source_sig").agg(F.min(F.struct((-c("score")).alias("s"), "family_id")).alias("_b")).join(
         sigs.select("source_sig", "signature"), "source_sig")
     fits = -c("_b.s") >= threshold

@@ -75,15 +75,25 @@ def invariant_pairs(before: DataFrame, after: DataFrame, before_slides: DataFram
     """
     keys = [deck, slide]
     common = before_slides.select(*keys).join(after_slides.select(*keys), keys, "left_semi")
-    plain = list(FACT_CODES)
-    changed = multiset_changes(before.filter(c("fact").isin(plain)), after.filter(c("fact").isin(plain)),
-                               [*keys, "fact", "value"]).select(*keys, "fact").distinct()
+
+    # An image of the edit also answers for the logos of the source.
+    def counted_as(side: str) -> Column:
+        if side == "before":
+            return F.array(c("fact"))
+        return F.when(c("fact") == "image", F.array(F.lit("image"), F.lit("logo"))).when(
+            c("fact") != "logo", F.array(c("fact")))
+
+    def sided(df: DataFrame, side: str, b: int, a: int) -> DataFrame:
+        return df.select(*keys, "value", F.explode(counted_as(side)).alias("fact"), F.lit(b).alias("_b"), F.lit(a).alias("_a"))
+
+    # One signed pass over both sides, combined before the shuffle.
+    uses = sided(before, "before", 1, 0).unionByName(sided(after, "after", 0, 1)).groupBy(*keys, "fact", "value").agg(
+        F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
     code = F.create_map(*[F.lit(v) for pair in FACT_CODES.items() for v in pair])
-    by_fact = changed.select(*keys, code[c("fact")].alias("code"))
-    images = after.filter(c("fact") == "image").select(*keys, "value").distinct()
-    lost = before.filter(c("fact") == "logo").select(*keys, "value").join(
-        images, [*keys, "value"], "left_anti").select(*keys).distinct().withColumn("code", F.lit("logos_changed"))
-    slides = by_fact.unionByName(lost).join(common, keys, "left_semi")
+    rule = F.when(c("fact") == "logo", F.when((c("_b") > 0) & (c("_a") == 0), F.lit("logos_changed"))).when(
+        c("_b") != c("_a"), F.try_element_at(code, c("fact")))
+    found = uses.select(*keys, rule.alias("code")).filter(c("code").isNotNull()).distinct()
+    slides = found.join(common, keys, "left_semi")
 
     def counted(df: DataFrame, side: int) -> DataFrame:
         return df.select(deck, F.lit(side).alias("_s"))

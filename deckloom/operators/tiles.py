@@ -28,13 +28,13 @@ def numbered(df: DataFrame, key: str, purpose: str) -> DataFrame:
 
 def tiled_top_k(source: DataFrame, catalog: DataFrame, source_key: str, catalog_key: str,
                 score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                tile_rows: int = TILE_ROWS) -> DataFrame:
+                merge: Callable[[DataFrame], DataFrame], tile_rows: int = TILE_ROWS) -> DataFrame:
     """Score every source row against every catalog row without ever emitting all pairs.
 
     Both tables are stored ones (see ``numbered``) of distinct signatures, so copies never
     multiply work. Each side is hashed into tiles of about ``tile_rows`` rows; a task gets one
-    source tile and one catalog tile and returns only that tile's best rows, which the caller
-    reduces once more. Task memory depends on ``tile_rows`` alone, and nothing passes through
+    source tile and one catalog tile and returns only that tile's best rows; ``merge`` picks the
+    best of several catalog tiles and is left out when there is one. Task memory depends on ``tile_rows`` alone, and nothing passes through
     the driver but the two row counts.
     """
     n_left = max(1, math.ceil(source.count() / tile_rows))
@@ -48,4 +48,5 @@ def tiled_top_k(source: DataFrame, catalog: DataFrame, source_key: str, catalog_
 
     a = tile(source, source_key, n_left, "_a", "_b", n_right)
     b = tile(catalog, catalog_key, n_right, "_b", "_a", n_left)
-    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(score, schema)
+    best = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(score, schema)
+    return best if n_right == 1 else merge(best)

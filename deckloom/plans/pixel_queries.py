@@ -119,10 +119,7 @@ ss AS (SELECT image_id, mae, f1 * 0.52::DOUBLE + coarse * 0.30::DOUBLE + iou * 0
 @query("ag13_structure_score", "fx_pixel", STRUCT_CTE, """
 SELECT image_id, round(st, 6) AS structural_score, round(greatest(0.0::DOUBLE, 1 - mae * 2.4::DOUBLE) * 0.30::DOUBLE + st * 0.70::DOUBLE, 6) AS similarity_score FROM ss""")
 def ag13(t):
-    e = edged(t)
-    parts = px.edge_f1(e, KEY).join(px.coarse_score(e, KEY, G), KEY).join(px.mask_iou(e, KEY), KEY).join(
-        px.image_metrics(e, KEY, G), KEY)
-    out = px.structure_score(parts)
+    out = px.compare_images(t.fx_pixel, t.fx_pixel.withColumn("image_id", c("image_id") - 1), KEY, G, [BACKGROUND])
     return out.select("image_id", F.round("structural_score", 6).alias("structural_score"),
                       F.round("similarity_score", 6).alias("similarity_score"))
 
