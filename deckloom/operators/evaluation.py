@@ -142,8 +142,8 @@ def lineage(jobs: DataFrame, job: str = "job_id", parent: str = "parent_job_id",
         .cast("bigint").alias("depth")), "lineage")
     for _ in range(max_rounds):
         step = state.select(c(job).alias("_up"), c("_up").alias("_up2"), c("depth").alias("_d2"))
-        # Rows whose parent is a root are done and stay out of the join.
-        moving = step.filter(c("_up") != c("_up2"))
+        # A job that points at a root (depth 0) is done and finds no partner.
+        moving = step.filter(c("_d2") > 0)
         joined = state.join(moving, "_up", "left")
         state = materialize(joined.select(
             job, F.coalesce(c("_up2"), c("_up")).alias("_up"),

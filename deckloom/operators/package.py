@@ -84,21 +84,25 @@ def rebuild_blockers(parts: DataFrame, deck: str = "deck_id") -> DataFrame:
 
 
 def markup_violations(slides: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
-    """Broken markup values per slide as (keys, rule, count): extents, auto-fit, gradient stops, alpha."""
+    """Broken markup values per slide as (keys, rule, count): extents, auto-fit, gradient stops, alpha.
+
+    A path is only evaluated where the text has its tag at all, which spares most parsing.
+    """
     percent = "@{0} >= 0 and @{0} <= 100000 and floor(@{0}) = number(@{0})"
-    rules = {
-        "invalid_extent": "count(//*[name()='a:ext'][@cx or @cy][not(@cx >= 0 and @cy >= 0 and "
-                          "floor(@cx) = number(@cx) and floor(@cy) = number(@cy))])",
-        "invalid_font_scale": f"count(//*[name()='a:normAutofit'][@fontScale][not({percent.format('fontScale')})])",
-        "invalid_line_reduction":
-            f"count(//*[name()='a:normAutofit'][@lnSpcReduction][not({percent.format('lnSpcReduction')})])",
-        "invalid_stop_position": f"count(//*[name()='a:gs'][not({percent.format('pos')})])",
-        "invalid_stop_alpha": f"count(//*[name()='a:gs']//*[name()='a:alpha'][not({percent.format('val')})])",
-        "stops_out_of_order":
-            "count(//*[name()='a:gradFill'][.//*[name()='a:gs'][@pos < preceding-sibling::*/@pos]])",
-    }
-    found = F.array(*[F.struct(F.lit(code).alias("rule"), F.xpath_int(c(xml), F.lit(path)).alias("uses"))
-                      for code, path in rules.items()])
+    rules = [
+        ("invalid_extent", "<a:ext", "//*[name()='a:ext'][@cx or @cy][not(@cx >= 0 and @cy >= 0 and "
+                                     "floor(@cx) = number(@cx) and floor(@cy) = number(@cy))]"),
+        ("invalid_font_scale", "fontScale",
+         f"//*[name()='a:normAutofit'][@fontScale][not({percent.format('fontScale')})]"),
+        ("invalid_line_reduction", "lnSpcReduction",
+         f"//*[name()='a:normAutofit'][@lnSpcReduction][not({percent.format('lnSpcReduction')})]"),
+        ("invalid_stop_position", "<a:gs", f"//*[name()='a:gs'][not({percent.format('pos')})]"),
+        ("invalid_stop_alpha", "<a:alpha", f"//*[name()='a:gs']//*[name()='a:alpha'][not({percent.format('val')})]"),
+        ("stops_out_of_order", "<a:gs",
+         "//*[name()='a:gradFill'][.//*[name()='a:gs'][@pos < preceding-sibling::*/@pos]]"),
+    ]
+    found = F.array(*[F.struct(F.lit(code).alias("rule"), F.when(
+        c(xml).contains(tag), F.xpath_int(c(xml), F.lit(f"count({path})"))).alias("uses")) for code, tag, path in rules])
     return slides.select(*keys, F.explode(F.filter(found, lambda r: r.uses > 0)).alias("_r")).select(
         *keys, "_r.rule", "_r.uses")
 

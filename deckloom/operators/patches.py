@@ -20,6 +20,7 @@ CONTENT_ACTIONS = ["delete", "replace_text", "duplicate"]
 LOGO_ACTIONS = ["recolor", "set_fill", "set_border", "crop_picture", "style_table", "style_chart"]
 PRESENCE_ACTIONS = ["set_font_size", "set_typography", "set_paragraph", "set_border", "bring_to_front",
                     "send_to_back", "style_table", "style_chart"]
+RGB_COLOR = r"^#?[0-9A-Fa-f]{6}$"
 FOOTER_WORDS = "footer|source|page_number|confidential"
 
 
@@ -78,7 +79,8 @@ def _fold(ops: DataFrame, keys: list[str], before: Column | None = None) -> Data
     x, y = F.when(moves, c("x_pt")), F.when(moves, c("y_pt"))
     ends = rows.groupBy(*keys).agg(
         last(x, "_x"), last(y, "_y"), last(F.when(moves, c("width_pt")), "_w"), last(F.when(moves, c("height_pt")), "_h"),
-        last(F.when(c("action").isin("recolor", "set_fill"), c("color")), "_color"),
+        last(F.when(c("action").isin("recolor", "set_fill") & c("color").rlike(RGB_COLOR),
+                    F.concat(F.lit("#"), F.upper(F.regexp_replace("color", "^#", "")))), "_color"),
         last(F.when(c("action") == "replace_text", F.coalesce(c("new_text"), F.lit(""))), "_text"),
         last(F.when(c("action") == "set_font_size", c("font_size_pt")), "_font"),
         F.min(F.when(c("action") == "delete", c("op_seq"))).alias("_deleted"))
@@ -145,6 +147,7 @@ def apply_shape_ops(shapes: DataFrame, ops: DataFrame, slide: str = "slide_id")
     absent = c("_known").isNull() & (c("_born").isNull() | (c("_born") >= c("op_seq")))
     rules = [
         ("missing_target", (c("action") != "delete") & (absent | F.coalesce(c("_deleted") < c("op_seq"), F.lit(False)))),
+        ("invalid_color", c("action").isin("recolor", "set_fill") & ~F.coalesce(c("color").rlike(RGB_COLOR), F.lit(False))),
         ("copy_of_copy", (c("action") == "duplicate") & c("_known").isNull() & c("_born").isNotNull()),
     ]
     violations = rule_rows(facts, [slide, "op_seq"], rules).unionByName(
@@ -199,6 +202,12 @@ def patch_plan_violations(ops: DataFrame, shapes: DataFrame, selected: DataFrame
     return found
 
 
+def section_selection_violations(ops: DataFrame, selected: DataFrame, deck: str = "deck_id") -> DataFrame:
+    """Section operations that name a slide outside the selection: (deck, op_seq, slide_index)."""
+    named = ops.select(deck, "op_seq", F.explode("slides").alias("slide_index"))
+    return named.join(selected.select(deck, "slide_index"), [deck, "slide_index"], "left_anti")
+
+
 def verify_operations(before: DataFrame, after: DataFrame, ops: DataFrame, slide: str = "slide_id",
                       tolerance: float = VERIFY_TOLERANCE_PT) -> DataFrame:
     """Whether every operation is visible in the edited shapes: (slide, op_seq, action, passed)."""

@@ -229,3 +229,27 @@ def test_catalog_append_twice(spark, table, tmp_path):
     sinks.catalog_append(df, path)
     sinks.catalog_append(df.unionByName(table([("s3", 3)], "sha256 string, n int")), path)
     assert rows(spark.read.parquet(path), "sha256", "n") == [("s1", 1), ("s2", 2), ("s3", 3)]
+
+
+def test_instructions_sizes_and_fonts(spark, tmp_path):
+    bold = ('<p:sp><p:nvSpPr><p:cNvPr id="3" name="Box"/></p:nvSpPr><p:txBody><a:p><a:r><a:rPr b="1" sz="700"><a:latin typeface="Inter"/></a:rPr>'
+            '<a:t>Please move the logo</a:t></a:r><a:endParaRPr sz="1800"/></a:p></p:txBody></p:sp>')
+    rel = lambda *items: f"<Relationships {REL}>" + "".join(
+        f'<Relationship Id="r{i}" Type="{k}" Target="{t}"/>' for i, (k, t) in enumerate(items)) + "</Relationships>"
+    deck(tmp_path / "n.pptx", bold, {
+        "ppt/notesSlides/notesSlide1.xml": f"<p:notes {NS}>{shape(2, 'Notes', 'Remplacez ce titre svp')}{shape(3, 'N', 'short')}</p:notes>",
+        "ppt/notesSlides/_rels/notesSlide1.xml.rels": rel(("t/slide", "../slides/slide1.xml")),
+        "ppt/slides/_rels/slide1.xml.rels": rel(("t/comments", "../comments/comment1.xml")),
+        "ppt/comments/comment1.xml": f"<p:cmLst {NS}><p:cm idx='1'><p:text>Update  this</p:text></p:cm><p:cm idx='2'><p:text>ok</p:text></p:cm></p:cmLst>"})
+    parts = packages.read_parts(spark, f"{tmp_path}/*.pptx").cache()
+    rels = packages.relationships(parts)
+    order = packages.slide_order(parts, rels)
+    got = packages.production_instructions(parts, rels, order)
+    assert rows(got, "slide_index", "source", "priority", "raw_text") == [
+        (2, "comment", 80, "Update this"), (2, "speaker_note", 60, "Remplacez ce titre svp"), (2, "visible_callout", 40, "Please move the logo")]
+    from deckloom.operators.layout import font_floor
+
+    sizes = packages.text_sizes(packages.shape_text(parts, order))
+    assert rows(sizes, "size_pt") == [(7.0,), (18.0,)]
+    assert rows(font_floor(sizes), "size_pt", "minimum_pt") == [(7.0, 8.0)]
+    assert rows(package.fonts_used(packages.typefaces(parts), "deck"), "typeface", "portable") == [("Inter", False)]
