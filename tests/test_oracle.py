@@ -4,6 +4,7 @@ import os
 
 import pytest
 from check_queries import compare, connect
+from check_types import mismatches
 
 from deckloom.plans import CHECKS, QUERIES
 
@@ -21,5 +22,10 @@ def test_query(spark, con, name):
     assert ok, text
 
 
+@pytest.mark.parametrize("name", ["ag01_slide_features", "ag21_average_scores", "jn16_invariant_pairs", "wn15_align_shapes"])
+def test_types(spark, con, name):
+    assert mismatches(QUERIES[name](spark, SF_DIR), con, CHECKS[name]) == []
+
+
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(QUERIES)
