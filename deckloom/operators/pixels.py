@@ -43,49 +43,71 @@ def image_sizes(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-def grid_filter(pixels: DataFrame, keys: list[str], radius: int, specs: list[tuple[str, str, str]]) -> DataFrame:
+def grid_filter(pixels: DataFrame, keys: list[str], radius: int, specs: list[tuple[str, str, str]],
+                columns_first: bool = False) -> DataFrame:
     """Square neighbourhood max, min or sum of columns, as (column, op, new column).
 
     The square is separable: one window along the row, one along the column. No pixel is copied
-    to its neighbours, and a window holds one line of one image.
+    to its neighbours, and a window holds one line of one image. A second filter that starts with
+    the columns finds the rows where the first one left them and saves a shuffle.
     """
     ops = {"max": F.max, "min": F.min, "sum": F.sum}
-    along = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-radius, radius)
-    across = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-radius, radius)
-    rows = pixels.withColumns({f"_{out}": ops[op](c(name)).over(along) for name, op, out in specs})
-    done = rows.withColumns({out: ops[op](c(f"_{out}")).over(across) for _, op, out in specs})
+    lines = [Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-radius, radius),
+             Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-radius, radius)]
+    first, second = reversed(lines) if columns_first else lines
+    half = pixels.withColumns({f"_{out}": ops[op](c(name)).over(first) for name, op, out in specs})
+    done = half.withColumns({out: ops[op](c(f"_{out}")).over(second) for _, op, out in specs})
     return done.drop(*[f"_{out}" for _, _, out in specs])
 
 
+def _far(side: str, channels: list[str], background: list[int], tolerance: int) -> Column:
+    gaps = [F.abs(c(f"{side}_{n}") - bg) for n, bg in zip(channels, background)]
+    widest = gaps[0] if len(gaps) == 1 else F.greatest(*gaps)
+    return (widest >= tolerance).cast("int")
+
+
+_MASKS = [("_rm", "max", "ref_mask"), ("_om", "max", "out_mask")]
+
+
 def foreground_masks(pairs: DataFrame, keys: list[str], channels: list[str], background: list[int],
                      tolerance: int = MASK_TOLERANCE) -> DataFrame:
     """0/1 masks ``ref_mask`` and ``out_mask``: far from the background, grown by one pixel."""
+    marked = pairs.withColumns({"_rm": _far("ref", channels, background, tolerance),
+                                "_om": _far("out", channels, background, tolerance)})
+    return grid_filter(marked, keys, 1, _MASKS).drop("_rm", "_om")
 
-    def far(side: str) -> Column:
-        gaps = [F.abs(c(f"{side}_{n}") - bg) for n, bg in zip(channels, background)]
-        widest = gaps[0] if len(gaps) == 1 else F.greatest(*gaps)
-        return (widest >= tolerance).cast("int")
 
-    marked = pairs.withColumns({"_rm": far("ref"), "_om": far("out")})
-    return grid_filter(marked, keys, 1, [("_rm", "max", "ref_mask"), ("_om", "max", "out_mask")]).drop("_rm", "_om")
+def _edge_specs(luma: tuple[str, str]) -> list[tuple[str, str, str]]:
+    return [(luma[0], "sum", "_ra"), (luma[1], "sum", "_rb"), ("_one", "sum", "_n")]
 
 
-def edge_masks(pairs: DataFrame, keys: list[str], luma: tuple[str, str], sizes: DataFrame,
-               threshold: int = EDGE_THRESHOLD) -> DataFrame:
-    """0/1 edge masks of both sides by the 3×3 outline kernel; the outer frame is never an edge."""
-    a, b = luma
-    summed = grid_filter(pairs, keys, 1, [(a, "sum", "_ra"), (b, "sum", "_rb")]).join(sizes, keys)
-    inner = (c("x") > 0) & (c("y") > 0) & (c("x") < c("width") - 1) & (c("y") < c("height") - 1)
+def _edges(summed: DataFrame, luma: tuple[str, str], threshold: int) -> DataFrame:
+    """Edges from neighbourhood sums; a pixel without all its eight neighbours is on the frame."""
 
     def edge(v: str, total: str) -> Column:
-        return (inner & (c(v) * 9 - c(total) >= threshold)).cast("int")
+        return ((c("_n") == 9) & (c(v) * 9 - c(total) >= threshold)).cast("int")
+
+    return summed.withColumns({"ref_edge": edge(luma[0], "_ra"), "out_edge": edge(luma[1], "_rb")}).drop(
+        "_ra", "_rb", "_n", "_one")
+
+
+def edge_masks(pairs: DataFrame, keys: list[str], luma: tuple[str, str], threshold: int = EDGE_THRESHOLD) -> DataFrame:
+    """0/1 edge masks of both sides by the 3×3 outline kernel; the outer frame is never an edge."""
+    return _edges(grid_filter(pairs.withColumn("_one", F.lit(1)), keys, 1, _edge_specs(luma)), luma, threshold)
+
 
-    return summed.withColumns({"ref_edge": edge(a, "_ra"), "out_edge": edge(b, "_rb")}).drop("_ra", "_rb")
+def masks_and_edges(pairs: DataFrame, keys: list[str], channels: list[str], background: list[int],
+                    luma: tuple[str, str], tolerance: int = MASK_TOLERANCE, threshold: int = EDGE_THRESHOLD) -> DataFrame:
+    """Both kinds of masks from one pass over the lines."""
+    marked = pairs.withColumns({"_rm": _far("ref", channels, background, tolerance),
+                                "_om": _far("out", channels, background, tolerance), "_one": F.lit(1)})
+    both = grid_filter(marked, keys, 1, [*_MASKS, *_edge_specs(luma)]).drop("_rm", "_om")
+    return _edges(both, luma, threshold)
 
 
 def edge_f1(pairs: DataFrame, keys: list[str], reach: int = EDGE_REACH) -> DataFrame:
     """Precision, recall and F1 of edges that may be ``reach`` pixels apart."""
-    near = grid_filter(pairs, keys, reach, [("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near")])
+    near = grid_filter(pairs, keys, reach, [("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near")], True)
     return _edge_scores(near.groupBy(*keys).agg(*_edge_sums())).select(
         *keys, "edge_precision", "edge_recall", "edge_f1")
 
@@ -106,7 +128,7 @@ def _edge_scores(sums: DataFrame) -> DataFrame:
 def interior(masked: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``common`` (foreground on both sides) and ``inner``, the same shrunk by two pixels."""
     both = masked.withColumn("common", c("ref_mask") * c("out_mask"))
-    return grid_filter(both, keys, 2, [("common", "min", "inner")])
+    return grid_filter(both, keys, 2, [("common", "min", "inner")], True)
 
 
 def image_metrics(masked: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
@@ -145,18 +167,18 @@ def compare_images(reference: DataFrame, rendered: DataFrame, keys: list[str], c
                    background: list[int], cell: int = 4) -> DataFrame:
     """All scores of image pairs in one row each: colour, edges, mask, coarse cells, structure, similarity.
 
-    Pairs are aligned once; masks, edges, reach and interior take two window passes per radius.
-    The result is stored in the shared folder, because three kinds of groups read it.
+    Pairs are aligned once; masks and edges share one pass over the lines, reach and interior the
+    next, which starts where the first one ended. The result is stored in the shared folder,
+    because three kinds of groups read it.
     """
     pairs = align_pixels(reference, rendered, keys, channels)
     luma = [vl.luminance(*[c(f"{s}_{n}") for n in RGB]) if channels == RGB else c(f"{s}_{channels[0]}")
             for s in ("ref", "out")]
     pairs = pairs.withColumns({"_rl": luma[0], "_ol": luma[1]})
-    masked = foreground_masks(pairs, keys, channels, background)
-    edged = edge_masks(masked, keys, ("_rl", "_ol"), image_sizes(reference, keys)).withColumn(
+    edged = masks_and_edges(pairs, keys, channels, background, ("_rl", "_ol")).withColumn(
         "common", c("ref_mask") * c("out_mask"))
     done = materialize(grid_filter(edged, keys, EDGE_REACH, [
-        ("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near"), ("common", "min", "inner")]), "image-pairs")
+        ("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near"), ("common", "min", "inner")], True), "image-pairs")
     sums = done.groupBy(*keys).agg(*_edge_sums(), F.sum("common").alias("_i"),
                                    F.sum(F.greatest("ref_mask", "out_mask")).alias("_u"))
     edges = _edge_scores(sums).withColumn("mask_iou", vl.safe_ratio(c("_i"), c("_u"), F.lit(1.0))).select(
@@ -266,7 +288,7 @@ def region_metrics(pairs: DataFrame, boxes: DataFrame, keys: list[str], channels
 
     Edges are grown over the whole image, so a neighbour just outside the box still matches.
     """
-    near = grid_filter(pairs, keys, EDGE_REACH, [("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near")])
+    near = grid_filter(pairs, keys, EDGE_REACH, [("ref_edge", "max", "ref_near"), ("out_edge", "max", "out_near")], True)
     rows = pixels_in_regions(near, boxes, keys, object_key, cell)
     total = reduce(lambda a, b: a + b, [c(f"diff_{n}") for n in channels])
     sums = rows.groupBy(*keys, object_key).agg(

@@ -191,7 +191,7 @@ def ag29(t):
 
 
 @query("jn15_slot_assignments", "fx_shape_key", """el AS (SELECT slide_id, shape_id, CASE kind WHEN 'sp' THEN 'text' WHEN 'pic' THEN 'image' ELSE 'shape' END AS type, CASE WHEN font_pt < 7 THEN 'decorative' ELSE 'content' END AS role,
- CASE shape_id % 4 WHEN 0 THEN 'media_primary' WHEN 1 THEN 'title' WHEN 2 THEN 'body' ELSE 'sidebar' END AS slot FROM fx_shape_key WHERE slide_id IN (SELECT slide_id FROM fx_shape_key WHERE shape_id = 1)),
+ CASE shape_id % 4 WHEN 0 THEN 'media_primary' WHEN 1 THEN 'title' WHEN 2 THEN 'body' ELSE 'sidebar' END AS slot FROM fx_shape_key),
 asg AS (SELECT el.* FROM el JOIN fx_shape_key f USING (slide_id, shape_id) WHERE f.h_pt < 120)""", """
 SELECT slide_id, 'unknown_element' AS rule, CAST(shape_id AS VARCHAR) AS subject FROM asg WHERE role <> 'content'
 UNION ALL SELECT slide_id, 'unknown_slot', slot FROM asg WHERE role = 'content' AND slot = 'sidebar'
@@ -200,15 +200,15 @@ UNION ALL SELECT el.slide_id, 'element_omitted', CAST(el.shape_id AS VARCHAR) FR
 UNION ALL SELECT slide_id, 'no_assignments', 'image_left_text_right' FROM (SELECT DISTINCT slide_id FROM el) WHERE slide_id NOT IN (SELECT slide_id FROM asg)""")
 def jn15(t):
     k = t.fx_shape_key
-    planned = k.filter("shape_id = 1").select("slide_id")
+    planned = k.select("slide_id").distinct()
     none = F.array().cast("array<string>")
     slot = (F.when(c("shape_id") % 4 == 0, "media_primary").when(c("shape_id") % 4 == 1, "title")
             .when(c("shape_id") % 4 == 2, "body").otherwise("sidebar"))
-    els = k.join(planned, "slide_id", "left_semi").select(
+    els = k.select(
         "slide_id", c("shape_id").alias("element_id"), F.when(c("kind") == "sp", "text").when(
             c("kind") == "pic", "image").otherwise("shape").alias("type"),
         F.when(c("font_pt") < 7, "decorative").otherwise("content").alias("role"), none.alias("block_ids"))
-    asg = k.join(planned, "slide_id", "left_semi").filter("h_pt < 120").select(
+    asg = k.filter("h_pt < 120").select(
         "slide_id", F.lit(0).alias("output_no"), c("shape_id").alias("assign_no"), c("shape_id").alias("element_id"),
         slot.alias("slot_id"), F.lit(False).alias("repeat"), none.alias("block_ids"))
     plans = planned.withColumn("strategy", F.lit("reflow"))

@@ -29,7 +29,7 @@ def masked(t):
 
 
 def edged(t):
-    return px.edge_masks(masked(t), KEY, ("ref_gray", "out_gray"), sizes(t))
+    return px.masks_and_edges(pairs(t), KEY, G, [BACKGROUND], ("ref_gray", "out_gray"))
 
 
 def near(col: str, op: str, r: int) -> str:
@@ -164,7 +164,7 @@ def ag14(t):
 
 
 @query("wn04_focus_objects", "fx_pixel embeddings", REGION_CTE + """,
-fo AS (SELECT image_id, object_id, round(mae * n, 6) AS em, round(sim, 6) AS sim FROM rg WHERE object_id = 1 AND n <= 80 * 0.18::DOUBLE AND (round(hi / n::DOUBLE, 6) >= 0.08 OR round(mae, 6) >= 0.06))""", """
+fo AS (SELECT image_id, object_id, round(mae * n, 6) AS em, round(sim, 6) AS sim FROM rg WHERE object_id = 1 AND n <= 100 * 0.18::DOUBLE AND (round(hi / n::DOUBLE, 6) >= 0.08 OR round(mae, 6) >= 0.06))""", """
 SELECT image_id, object_id, em AS error_mass, CAST(row_number() OVER (PARTITION BY image_id ORDER BY em DESC, sim, object_id) AS INTEGER) AS focus_rank FROM fo QUALIFY focus_rank <= 2""")
 def wn04(t):
     out = px.region_metrics(edged(t), boxes(t), KEY, G, cell=4)
@@ -172,7 +172,7 @@ def wn04(t):
         "pixel_mae", "similarity_score", "high_error_share", "error_mass")])
     kinds = boxes(t).select("image_id", "object_id", "kind")
     regions = rounded.join(kinds, ["image_id", "object_id"]).withColumn("box_area", c("pixels"))
-    return px.focus_objects(regions, KEY, F.lit(80)).select("image_id", "object_id", "error_mass", "focus_rank")
+    return px.focus_objects(regions, KEY, F.lit(100)).select("image_id", "object_id", "error_mass", "focus_rank")
 
 
 SIL_CTE = MASK_CTE + """,

@@ -387,11 +387,10 @@ def test_silhouette_ignores_color(table):
 
 def test_edges_within_reach_match(table):
     pairs = image(table, 24, (6, 6, 16, 16), 0, (7, 6, 17, 16), 0)
-    sizes = pixels.image_sizes(pairs, ["id"])
-    near = pixels.edge_f1(pixels.edge_masks(pairs, ["id"], ("ref_gray", "out_gray"), sizes), ["id"]).first()
+    near = pixels.edge_f1(pixels.edge_masks(pairs, ["id"], ("ref_gray", "out_gray")), ["id"]).first()
     assert near.edge_f1 == pytest.approx(1.0)
     pairs = image(table, 24, (2, 2, 8, 8), 0, (14, 14, 20, 20), 0)
-    far = pixels.edge_f1(pixels.edge_masks(pairs, ["id"], ("ref_gray", "out_gray"), sizes), ["id"]).first()
+    far = pixels.edge_f1(pixels.edge_masks(pairs, ["id"], ("ref_gray", "out_gray")), ["id"]).first()
     assert far.edge_f1 == 0
 
 
