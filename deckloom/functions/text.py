@@ -72,4 +72,5 @@ def iso_to_ts(value: Column) -> Column:
 
 
 def age_days(now: Column, then: Column) -> Column:
-    return F.datediff(now, then)
+    """Whole days between two timestamps."""
+    return F.timestamp_diff("DAY", then, now)

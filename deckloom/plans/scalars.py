@@ -123,11 +123,11 @@ def fn11(t):
 
 
 @query("fn12_event_age", "fx_job_event", "", """
-SELECT sequence, CAST(date_diff('day', CAST(created_at AS DATE), DATE '2030-01-01') AS INTEGER) AS age_days FROM fx_job_event""")
+SELECT sequence, CAST(floor((epoch(TIMESTAMP '2030-01-01 00:00:00') - epoch(created_at)) / 86400) AS BIGINT) AS age_days FROM fx_job_event""")
 def fn12(t):
-    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return t.fx_job_event.select(
-        "sequence", tx.age_days(F.lit("2030-01-01").cast("date"), tx.iso_to_ts(stamp)).alias("age_days"))
+        "sequence", tx.age_days(tx.iso_to_ts(F.lit("2030-01-01T00:00:00+00:00")), tx.iso_to_ts(stamp)).alias("age_days"))
 
 
 @query("fn13_clamp", "lineitem", "", """
