@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.functions import values as vl
 from deckloom.operators.shapes import FEATURES
 from deckloom.operators.skew import first_by
 from deckloom.operators.tiles import materialize, numbered, tiled_top_k

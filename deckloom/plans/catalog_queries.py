@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from deckloom.operators import catalog as cat
 from deckloom.operators import shapes as sh
-from deckloom.plans.layout_queries import FEATURES_CTE, FRAME, framed
+from deckloom.plans.layout_queries import FEATURES_CTE, framed
 from deckloom.plans.registry import query
 
 c = F.col
