@@ -41,6 +41,11 @@ def normalize_hex(value: Column) -> Column:
     return F.when(full.rlike(r"^[0-9A-F]{6}$"), F.concat(F.lit("#"), full))
 
 
+def valid_hex(value: Column) -> Column:
+    """Whether ``normalize_hex`` has a result, by a single match."""
+    return value.rlike(r"^ *#*(?:[0-9A-Fa-f]{3}){1,2} *$")
+
+
 def channel(hex_color: Column, index: int) -> Column:
     """Red (0), green (1) or blue (2) of ``#RRGGBB`` as bigint."""
     return F.conv(F.substring(hex_color, 2 + 2 * index, 2), 16, 10).cast("bigint")

@@ -55,23 +55,23 @@ def constraint_violations(elements: DataFrame, keys: list[str]) -> DataFrame:
     if "opacity" in have:
         rules.append(("opacity_out_of_range", _outside_unit(c("opacity"))))
     if "color" in have:
-        rules.append(("color_invalid", c("color").isNotNull() & vl.normalize_hex(c("color")).isNull()))
+        rules.append(("color_invalid", ~vl.valid_hex(c("color"))))
     if "fill" in have:
         kind, stops = c("fill.kind"), c("fill.stops")
         rules += [
             ("fill_opacity_out_of_range", _outside_unit(c("fill.opacity"))),
-            ("fill_color_invalid", c("fill.color").isNotNull() & vl.normalize_hex(c("fill.color")).isNull()),
+            ("fill_color_invalid", ~vl.valid_hex(c("fill.color"))),
             ("solid_without_color", (kind == "solid") & c("fill.color").isNull()),
             ("gradient_too_few_stops", (kind == "linear_gradient") & (F.coalesce(F.size(stops), F.lit(0)) < 2)),
             ("gradient_without_angle", (kind == "linear_gradient") & c("fill.angle_deg").isNull()),
             ("stop_out_of_range", F.exists(stops, lambda s: _outside_unit(s.position) | _outside_unit(s.opacity))),
-            ("stop_color_invalid", F.exists(stops, lambda s: vl.normalize_hex(s.color).isNull())),
+            ("stop_color_invalid", F.exists(stops, lambda s: ~F.coalesce(vl.valid_hex(s.color), F.lit(False)))),
         ]
     if "stroke" in have:
         rules += [
             ("stroke_opacity_out_of_range", _outside_unit(c("stroke.opacity"))),
             ("stroke_color_invalid",
-             c("stroke.color").isNotNull() & vl.normalize_hex(c("stroke.color")).isNull()),
+             ~vl.valid_hex(c("stroke.color"))),
             ("stroke_width_negative", c("stroke.width_px") < 0),
         ]
     for name, code in (("font_size_pt", "font_size_not_positive"), ("line_spacing", "line_spacing_not_positive")):

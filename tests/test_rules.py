@@ -41,6 +41,8 @@ def test_resolve_target(table, source, target, expected):
 def test_hex_names_and_hashes(table):
     assert [one(table, v, vl.normalize_hex) for v in (" #abc", "0f0F0f", "12345", "gggggg")] == [
         "#AABBCC", "#0F0F0F", None, None]
+    assert [one(table, v, vl.valid_hex) for v in (" #abc", "0f0F0f", "12345", "gggggg", "##AABBCC", "")] == [
+        True, True, False, False, True, False]
     assert [one(table, v, tx.safe_name) for v in ("../a/b?.txt", " .x. ", "é_1-2.pptx")] == ["b.txt", "x", "é_1-2.pptx"]
     got = table([("0" * 16, "f" + "0" * 15), (None, "0" * 16), ("8" + "0" * 15, "0" * 15 + "1")], "a string, b string").select(
         vl.hamming_hex(c("a"), c("b")).alias("d"))
