@@ -20,6 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Ranges that the keys of a source are cut into, so that a large source is summed by many tasks.
 RANGES = 1024
+#: Places where a source's rows are joined with its target.
+SALTS = 32
 #: Hexadecimal digits of the digest that make ``u``.
 DIGITS = 13
 
@@ -76,11 +78,14 @@ def _decided(slides: DataFrame, weights: tuple[int, ...], share: float, most: fl
     sized = _sized(slides, seed).select("slide_id", "source", "_source", "_size", "_key")
     rows = stored(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most)
-    joined = rows.join(targets.select(_named("source").alias("_source"), "source_size", "target"), "_source")
+    # A source may hold a third of all rows: its rows meet its target in many places.
+    cut = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(RANGES))
+    spread = targets.select(_named("source").alias("_source"), "source_size", "target",
+                            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    joined = rows.withColumn("_salt", F.pmod(cut, F.lit(SALTS)).cast("int")).join(spread, ["_source", "_salt"]).drop("_salt")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     joined = joined.withColumn("_epochs", epochs).withColumn(
         "_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    cut = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(RANGES))
     summed = running_sum(joined, ["_source"], ["_key", "_row"], "_size", "_upto", cut=cut)
     return summed.withColumn("_picked", (F.col("_rest") > 0) & (F.col("_size") > 0) & (
         F.col("_upto") - F.col("_size") / 2.0 <= F.col("_rest")))

@@ -36,3 +36,37 @@ def op9_mixing(spark, sf_dir):
 
     mixed = mix_sources(slides(table(spark, sf_dir, "documents"), "source"))
     return mixed.select(F.col("slide_id").alias("doc_id"), "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@query("op7_language")
+def op7_language(spark, sf_dir):
+    from deckloom.llm.language import detect_language, fit_languages, training_part
+
+    texts = slides(table(spark, sf_dir, "documents"), "lang")
+    found = detect_language(texts.select("slide_id", "text"), fit_languages(texts))
+    return found.select(
+        F.col("slide_id").alias("doc_id"), (training_part(F.col("slide_id")) == 0).alias("held_out"),
+        "language.lang_pred", "language.score", "language.cross_entropy", "language.rejected")
+
+
+@query("op4_bpe")
+def op4_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from deckloom.llm.bpe import encode_slides
+
+    done = encode_slides(slides(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                         public_tokenizers.PATTERN)
+    return done.select(F.col("slide_id").alias("doc_id"), "tokens.*")
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from deckloom.llm.token_files import read_token_files, write_token_files
+    from deckloom.session import shared_dir
+
+    path = shared_dir(spark, "token-files")
+    write_token_files(slides(table(spark, sf_dir, "documents")), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, path).withColumnRenamed("slide_id", "doc_id")
