@@ -70,3 +70,17 @@ def op10_token_files(spark, sf_dir):
     path = shared_dir(spark, "token-files")
     write_token_files(slides(table(spark, sf_dir, "documents")), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, path).withColumnRenamed("slide_id", "doc_id")
+
+
+def trusted(labels: DataFrame) -> DataFrame:
+    """Slides labelled as good and not toxic."""
+    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("slide_id"))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    from deckloom.llm.quality import fit_ratios, quality_rules
+
+    texts = slides(table(spark, sf_dir, "documents"))
+    judged = quality_rules(texts, fit_ratios(texts, trusted(table(spark, sf_dir, "labels"))))
+    return judged.select(F.col("slide_id").alias("doc_id"), "quality.*")
