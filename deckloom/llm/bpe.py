@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckloom.llm.common import packed, unpacked
+
 #: Characters of text handled at once, words of one recursive query, tokens of one decoding query.
 SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 22, 60_000, 1 << 18
 #: Distinct chunks that a worker remembers before it starts anew.
@@ -213,7 +215,8 @@ def encode_slides(slides: DataFrame, rank_file: str, pattern: str, keep_ids: boo
     bounded); ``pattern``: the pattern whose matches are encoded separately. ``tokens`` holds
     ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers), ``decoded_sha256``
     (of the bytes that the ids decode to) and, if ``keep_ids``, ``ids`` (those bytes of the ids). A null text is an empty one: no
-    tokens. Texts of any length are encoded whole, repeated rows alike, an empty table stays empty.
+    tokens. Texts of any length are encoded whole, repeated rows alike, an empty table stays empty; a column
+    ``tokens`` that was there before is replaced.
     """
     with open(rank_file, "rb") as file:
         lines = slides.sparkSession.sparkContext.broadcast(file.read())
@@ -232,4 +235,4 @@ def encode_slides(slides: DataFrame, rank_file: str, pattern: str, keep_ids: boo
             frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             yield frame if keep_ids else frame.drop(columns="ids")
 
-    return slides.withColumn("tokens", tokens(F.col("text")))
+    return unpacked(packed(slides, "text").withColumn("tokens", tokens(F.col("text"))), slides.columns, "tokens")

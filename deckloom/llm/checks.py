@@ -9,10 +9,12 @@ SQL: dict[str, str] = {}
 
 SQL["op9_mixing"] = f"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
 keyed AS (
   SELECT *, -ln((CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1, 13)
-    AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS k FROM sized),
+    AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    / ((size + 1.0::DOUBLE) / (size + 1.0::DOUBLE + symbols)) AS k FROM sized),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS n
   FROM sized GROUP BY source),

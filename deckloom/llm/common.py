@@ -20,6 +20,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(slides: DataFrame, *needed: str) -> DataFrame:
+    """Whole rows as the struct ``_row`` and the columns that an operator reads: no name can clash."""
+    return slides.select(F.struct("*").alias("_row"), *needed)
+
+
+def unpacked(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns ``names`` of packed rows, and ``more`` in place of those of the same name."""
+    return rows.select(*[F.col("_row")[n].alias(n) for n in names if n not in more], *more)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for each row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

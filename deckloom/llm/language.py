@@ -17,11 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckloom.llm.common import packed, unpacked
+
 #: Expected characters of each language that models are fitted on, and bounds calibrated on: slides
 #: are drawn by a hash of their id at the rate that gives so many. The model is thus bounded as well.
 SAMPLE_CHARS = 20_000_000
 #: A text is rejected beyond so many deviations of its language's cross-entropy.
 DEVIATIONS = 10.0
+#: Least deviation between texts of a language, as a part of its mean: few slides to calibrate on show little of it.
+LEAST_SPREAD = 0.05
 #: Alphabet size of the uniform share below single characters.
 ALPHABET = 1 << 16
 #: Characters handled at once.
@@ -182,7 +186,8 @@ def predict_batch(models, langs, bounds, texts: pd.Series) -> pd.DataFrame:
     out.loc[known, "square"] = squares[row, best] / n
     if bounds is not None:
         mean, between, within = np.array(bounds)[best].T
-        out.loc[known, "rejected"] = least > mean + DEVIATIONS * np.sqrt(between + within / n)
+        out.loc[known, "rejected"] = least > mean + DEVIATIONS * np.sqrt(
+            np.maximum(between, (LEAST_SPREAD * mean) ** 2) + within / n)
     return out
 
 
@@ -216,6 +221,7 @@ def detect_language(slides: DataFrame, models: LanguageModels) -> DataFrame:
 
     ``lang_pred`` is the language of least cross-entropy (the first by name among equals), ``score`` its
     part of all languages' likelihood for a character. Null texts and texts without a letter are
-    ``und``, with score 0, and rejected. Repeated rows are judged alike; an empty table stays empty.
+    ``und``, with score 0, and rejected. Repeated rows are judged alike; an empty table stays empty;
+    a column ``language`` that was there before is replaced.
     """
-    return slides.withColumn("language", models.entropies())
+    return unpacked(packed(slides, "text").withColumn("language", models.entropies()), slides.columns, "language")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import stored, word_count
+from deckloom.llm.common import packed, stored, unpacked, word_count
 from deckloom.operators.skew import running_sum
 
 #: Weights dealt to the sources in their order, again and again.
@@ -20,6 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Ranges that the keys of a source are cut into, so that a large source is summed by many tasks.
 RANGES = 1024
+#: A slide without a quality of its own weighs less the more of these signs stand between its words.
+SYMBOLS = "[#*$%&|<>]"
 #: Places where a source's rows are joined with its target.
 SALTS = 32
 #: Hexadecimal digits of the digest that make ``u``.
@@ -63,8 +65,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def _sized(slides: DataFrame, seed: int) -> DataFrame:
     """Adds ``_size``, ``_key`` and ``_source``, the source's name with nulls marked, so that joins find them."""
-    quality = F.col("quality").cast("double") if "quality" in slides.columns else F.lit(1.0)
-    weight = F.when(quality > 0, quality).otherwise(F.lit(1.0))
+    quality = F.col("quality").cast("double") if "quality" in slides.columns else F.lit(None)
+    symbols = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS))
+    plain = (F.col("_size") + F.lit(1.0)) / (F.col("_size") + F.lit(1.0) + symbols)
+    weight = F.when(quality > 0, quality).otherwise(plain)
     return slides.withColumn("_size", word_count(F.col("text"))).withColumn(
         "_key", -F.log(draw(seed, F.col("slide_id"), F.col("_size"))) / weight).withColumn("_source", _named("source"))
 
@@ -95,8 +99,8 @@ def mix_sources(slides: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
                 seed: int = 7) -> DataFrame:
     """How many words of each slide the mix takes.
 
-    ``slides``: ``slide_id, text, source`` and, if wanted, ``quality`` (a positive weight; without
-    it, null, or not above zero: 1). More columns are left aside. Returns one row for each slide row:
+    ``slides``: ``slide_id, text, source`` and, if wanted, ``quality`` (a positive weight; without it,
+    null, or not above zero: words, plus one, to words, symbols, plus one). More columns are left aside. Returns one row for each slide row:
     ``slide_id, source, size, source_size, target, copies, taken``. A slide is taken whole: ``taken``
     is ``copies`` times ``size``, and ``copies`` is at most ``most`` rounded up. The last slide of a
     budget is the one whose middle word still lies in it. Empty and null texts have size 0 and come
@@ -121,6 +125,7 @@ def mixed_rows(slides: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     bounds = decided.groupBy("_source").agg(
         F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_picked"), F.col("_key"))).alias("_bound"))
     picked = F.coalesce((F.col("_key") <= F.col("_bound")) & (F.col("_size") > 0), F.lit(False)).cast("int")
-    taken = _sized(slides, seed).join(bounds, "_source").withColumn("_copies", (F.col("_epochs") + picked).cast("int"))
-    return taken.where("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*slides.columns)
+    needed = ["slide_id", "text", "source", *(["quality"] if "quality" in slides.columns else [])]
+    taken = _sized(packed(slides, *needed), seed).join(bounds, "_source").withColumn(
+        "_copies", (F.col("_epochs") + picked).cast("int")).where("_copies > 0")
+    return unpacked(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), slides.columns)

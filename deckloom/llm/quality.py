@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import BLANK, let, word_list
+from deckloom.llm.common import BLANK, let, packed, unpacked, word_list
 
 #: Buckets of the hashed n-grams, and the count added to each bucket on both sides.
 BUCKETS, ADDED = 1 << 16, 10.0
@@ -119,11 +119,12 @@ def quality_rules(slides: DataFrame, ratios: DataFrame, threshold: float = THRES
 
     ``slides`` needs ``text``; ``ratios`` is a result of ``fit_ratios``. ``quality`` holds ``n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, ratio, kept``. A null text has no words and fails the base
-    rules, as does an empty one. Texts are read whole; repeated rows get the same verdict; an empty table stays empty.
+    rules, as does an empty one. Texts are read whole; repeated rows get the same verdict; an empty
+    table stays empty; a column ``quality`` that was there before is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{BLANK}]"))
-    rows = slides.withColumn("_words", word_list(F.col("text"))).withColumn("_lines", lines)
+    rows = packed(slides, "text").withColumn("_words", word_list(F.col("text"))).withColumn("_lines", lines)
     n_words = F.size("_words").cast("bigint")
     rows = rows.withColumn("_repeat", repeated_words(F.col("_words"))).withColumn("_ratios", ratios.select("ratios").scalar())
     rows = rows.withColumn("_ratio", mean_ratio(F.col("text"), F.col("_ratios")))
@@ -134,4 +135,4 @@ def quality_rules(slides: DataFrame, ratios: DataFrame, threshold: float = THRES
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"), failed.alias("base_failed"), F.col("_ratio").alias("ratio"),
         (~failed & (F.col("_ratio") >= threshold)).alias("kept"))
-    return rows.withColumn("quality", counts).drop("_words", "_lines", "_repeat", "_ratio", "_ratios")
+    return unpacked(rows.withColumn("quality", counts), slides.columns, "quality")

@@ -84,3 +84,10 @@ def op3_quality(spark, sf_dir):
     texts = slides(table(spark, sf_dir, "documents"))
     judged = quality_rules(texts, fit_ratios(texts, trusted(table(spark, sf_dir, "labels"))))
     return judged.select(F.col("slide_id").alias("doc_id"), "quality.*")
+
+
+@query("op1_simhash")
+def op1_simhash(spark, sf_dir):
+    from deckloom.llm.simhash import near_duplicates
+
+    return near_duplicates(slides(table(spark, sf_dir, "documents"))).withColumnRenamed("slide_id", "doc_id")
