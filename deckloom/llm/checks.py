@@ -42,3 +42,52 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
   CAST(size * (coalesce(epochs, 0) + CASE WHEN target - epochs * source_size > 0 AND size > 0
     AND upto - size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed"""
+
+#: The tree of path templates, level by level, as the rules of ``links`` state them.
+_DEPTH, _ONE_IN = 4, 20
+_PARTS = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+_LEVELS = "".join(f"""
+level{d} AS (SELECT *, coalesce(CASE WHEN len(segments) >= {d} THEN segments[{d}] END, '') AS segment FROM tree{d - 1}),
+counts{d} AS (SELECT host, template, segment, sum(n) AS own FROM level{d} GROUP BY ALL),
+often{d} AS (SELECT host, template, segment, own * {_ONE_IN} >= sum(own) OVER (PARTITION BY host, template) AS often FROM counts{d}),
+tree{d} AS (SELECT host, shape, n, n_labelled, n_bad, segments, template || CASE WHEN segment = '' THEN ''
+    WHEN often OR starts_with(segment, '*') THEN '/' || segment ELSE '/*' END AS template
+  FROM level{d} JOIN often{d} USING (host, template, segment)),""" for d in range(1, _DEPTH + 1))
+
+SQL["op8_links"] = f"""
+WITH parted AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), {_PARTS}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {_PARTS}, 2) AS path FROM pages),
+labelled AS (
+  SELECT host, path, quality = 0 OR toxic = 1 AS bad FROM parted JOIN labels
+    ON regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]+)', 1) = CAST(doc_id AS VARCHAR)),
+everything AS (SELECT host, path, NULL::BOOLEAN AS bad FROM parted UNION ALL SELECT * FROM labelled WHERE bad IS NOT NULL),
+shaped AS (
+  SELECT *, regexp_replace(replace(path, '/', '//') || '/', '/[^/]*?[0-9][^/]*?(\\.[A-Za-z]+)?/', '/*\\1/', 'g') AS s FROM everything),
+shapes AS (SELECT host, path, bad, replace(substr(s, 1, len(s) - 1), '//', '/') AS shape FROM shaped),
+tree0 AS (
+  SELECT host, shape, count(*) AS n, count(bad) AS n_labelled, count(*) FILTER (bad) AS n_bad,
+    list_filter(string_split(shape, '/'), lambda x: x <> '') AS segments, '' AS template FROM shapes GROUP BY host, shape),{_LEVELS}
+templates AS (
+  SELECT host, shape, template || CASE WHEN len(segments) > {_DEPTH} THEN '/**' ELSE '' END AS template, n, n_labelled, n_bad
+  FROM tree{_DEPTH}),
+leaves AS (
+  SELECT host, template, sum(n_labelled)::DOUBLE AS n, sum(n_bad)::DOUBLE AS bad, regexp_replace(template, '^/[^/*]+', '/{{}}') AS family
+  FROM templates GROUP BY host, template),
+pooled AS (SELECT *, sum(bad) OVER f / greatest(sum(n) OVER f, 1) AS share FROM leaves WINDOW f AS (PARTITION BY host, family)),
+branches AS (
+  SELECT *, CASE WHEN (bad - n * share) * (bad - n * share) <= 1.96::DOUBLE * 1.96::DOUBLE * (n * share) * (1 - share)
+    THEN family ELSE template END AS branch FROM pooled),
+judged AS (
+  SELECT host, template, CASE WHEN (sum(bad) OVER b + 10.0::DOUBLE * (SELECT coalesce(sum(n_bad)::DOUBLE / greatest(sum(n_labelled), 1), 0) FROM templates))
+    / (sum(n) OVER b + 10.0::DOUBLE) >= 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM branches WINDOW b AS (PARTITION BY host, branch)),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+pages_shaped AS (
+  SELECT page_id, host, path, replace(substr(s, 1, len(s) - 1), '//', '/') AS shape FROM (
+    SELECT *, regexp_replace(replace(path, '/', '//') || '/', '/[^/]*?[0-9][^/]*?(\\.[A-Za-z]+)?/', '/*\\1/', 'g') AS s FROM parted)),
+fitting AS (
+  SELECT page_id, host, path, shape, (SELECT max_by(struct_pack(r := h || p, v := r.verdict), len(h || p)) FROM rules r
+    WHERE (q.host = h OR ends_with(q.host, '.' || h)) AND starts_with(q.path, p)) AS fit FROM pages_shaped q)
+SELECT page_id, host, path, fit.r AS rule, coalesce(fit.v, j.verdict) AS verdict, t.template
+FROM fitting JOIN templates t USING (host, shape) JOIN judged j ON j.host = t.host AND j.template = t.template"""

@@ -91,3 +91,21 @@ def op1_simhash(spark, sf_dir):
     from deckloom.llm.simhash import near_duplicates
 
     return near_duplicates(slides(table(spark, sf_dir, "documents"))).withColumnRenamed("slide_id", "doc_id")
+
+
+#: The rules of the crawl (fixed values of the contract).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op8_links")
+def op8_links(spark, sf_dir):
+    from deckloom.llm.links import judge_targets
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("rel_id"), F.col("url").alias("target"))
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    # A page shows the document whose number ends its path.
+    numbered = pages.withColumn("number", F.regexp_extract("target", "://[^/?#]*[^?#]*/([0-9]+)", 1))
+    judged = judge_targets(pages, numbered.where("number <> ''").join(labels, "number").select("target", "bad"), RULES)
+    return judged.select(F.col("rel_id").alias("page_id"), "host", "path", "rule", "verdict", "template")
