@@ -91,3 +91,47 @@ fitting AS (
     WHERE (q.host = h OR ends_with(q.host, '.' || h)) AND starts_with(q.path, p)) AS fit FROM pages_shaped q)
 SELECT page_id, host, path, fit.r AS rule, coalesce(fit.v, j.verdict) AS verdict, t.template
 FROM fitting JOIN templates t USING (host, shape) JOIN judged j ON j.host = t.host AND j.template = t.template"""
+
+
+def _license_sql() -> str:
+    """Base phrases, and template spans by word-for-word windows of three, from the same texts and limits."""
+    from deckloom.llm.licences import PHRASES, TEMPLATES, template_words
+
+    templates = ", ".join("({}, '{}', ['{}'])".format(i, label, "', '".join(template_words(text)))
+                          for i, (label, text) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES)
+    return f"""
+WITH worded AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
+templates(t, label, words) AS (VALUES {templates}),
+phrases(phrase, label, n) AS (VALUES {phrases}),
+placed AS (SELECT r, words, unnest(range(0, len(words))) AS pos FROM worded),
+windows AS (SELECT r, pos, words[pos + 1] AS a, words[pos + 2] AS b, words[pos + 3] AS c FROM placed WHERE pos + 3 <= len(words)),
+template_at AS (SELECT t, len(words) AS size, words, unnest(range(0, len(words) - 2)) AS spot FROM templates),
+hits AS (
+  SELECT r, t, size, spot, pos, pos - spot AS diagonal FROM windows JOIN template_at
+    ON a = words[spot + 1] AND b = words[spot + 2] AND c = words[spot + 3]),
+lagged AS (
+  SELECT r, t, diagonal, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > 4, TRUE)::INT AS apart
+  FROM (SELECT DISTINCT r, t, diagonal FROM hits)),
+bands AS (SELECT r, t, diagonal, sum(apart) OVER (PARTITION BY r, t ORDER BY diagonal) AS band FROM lagged),
+grouped AS (
+  SELECT r, t, size, spot, pos, 'd' || diagonal AS g FROM hits UNION ALL
+  SELECT h.r, h.t, size, spot, pos, 'b' || band FROM hits h JOIN bands USING (r, t, diagonal)),
+covered AS (SELECT r, t, size, g, pos, unnest(range(spot, spot + 3)) AS word FROM grouped),
+spans AS (
+  SELECT r, t, count(DISTINCT word)::DOUBLE / any_value(size) AS coverage FROM covered GROUP BY r, t, g
+  HAVING count(DISTINCT word)::DOUBLE / any_value(size) >= 0.6 AND count(DISTINCT word) >= 0.6::DOUBLE * (max(pos) + 3 - min(pos))),
+more AS (SELECT r, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM spans JOIN templates USING (t) GROUP BY r),
+base AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM placed JOIN phrases ON array_to_string(words[pos + 1:pos + n], ' ') = phrase GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(more.labels, []))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(coverage, 0.0::DOUBLE) END AS score
+FROM worded LEFT JOIN base USING (r) LEFT JOIN more USING (r)"""
+
+
+SQL["op6_licences"] = _license_sql()

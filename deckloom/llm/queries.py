@@ -109,3 +109,10 @@ def op8_links(spark, sf_dir):
     numbered = pages.withColumn("number", F.regexp_extract("target", "://[^/?#]*[^?#]*/([0-9]+)", 1))
     judged = judge_targets(pages, numbered.where("number <> ''").join(labels, "number").select("target", "bad"), RULES)
     return judged.select(F.col("rel_id").alias("page_id"), "host", "path", "rule", "verdict", "template")
+
+
+@query("op6_licences")
+def op6_licences(spark, sf_dir):
+    from deckloom.llm.licences import license_scan
+
+    return license_scan(slides(table(spark, sf_dir, "documents"))).withColumnRenamed("slide_id", "doc_id")
