@@ -116,3 +116,11 @@ def op6_licences(spark, sf_dir):
     from deckloom.llm.licences import license_scan
 
     return license_scan(slides(table(spark, sf_dir, "documents"))).withColumnRenamed("slide_id", "doc_id")
+
+
+@query("op2_topk")
+def op2_topk(spark, sf_dir):
+    from deckloom.llm.topk import top_matches
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.col("embedding").alias("features"))
+    return top_matches(vectors, vectors.where("slide_id % 50 = 0"), 5).withColumnRenamed("slide_id", "vec_id")
