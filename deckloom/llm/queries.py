@@ -124,3 +124,11 @@ def op2_topk(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slide_id"), F.col("embedding").alias("features"))
     return top_matches(vectors, vectors.where("slide_id % 50 = 0"), 5).withColumnRenamed("slide_id", "vec_id")
+
+
+@query("op5_article")
+def op5_article(spark, sf_dir):
+    from deckloom.llm.article import extract_articles
+
+    done = extract_articles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
