@@ -36,6 +36,8 @@ BOILER_WORDS = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar side widget footer masthead comment comments disqus reply replies respond discussion share sharing social "
     "related recommended search pagination pager toolbar skip copyright legal contentinfo complementary dialog".split())
+#: Marks that hold for all within, also for articles: comments are written as articles, too.
+STICKY_WORDS = frozenset("comment comments disqus reply replies respond discussion related recommended".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 #: Weights of the classifier: marks around a block, part of its text inside links, length, headings, notices of rights.
 BOILER_WEIGHT, CONTENT_WEIGHT, LINK_WEIGHT, HEADING_WEIGHT, RIGHTS_WEIGHT = -6.0, 4.0, -4.0, 1.5, -2.0
@@ -61,19 +63,23 @@ class Element:
         self.tag, self.no, self.mark, self.hidden = tag, no, mark, hidden
 
 
-def _mark(tag: str, attributes: str, within_content: bool) -> int:
-    """1 for content, -1 for boilerplate, 0 where an element says nothing."""
+def _mark(tag: str, attributes: str, around: int) -> int:
+    """1 for content, -1 for boilerplate (-2 for all within), 0 where an element says nothing; ``around``: the mark outside."""
     if tag in ("html", "body"):
         return 0
     words: set[str] = set()
     if attributes:
         for found in _NAMES.findall(attributes):
             words.update(w.lower() for w in _WORD.findall(" ".join(found)))
+    if words & STICKY_WORDS:
+        return -2
     if tag in BOILER_TAGS or words & BOILER_WORDS:
         return -1
     if tag == "header" or "header" in words:
-        return 0 if within_content else -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS else 0
+        return 0 if around > 0 else -1
+    if tag in CONTENT_TAGS:
+        return 0 if around == -2 else 1
+    return 1 if words & CONTENT_WORDS and around >= 0 else 0
 
 
 class Block:
@@ -145,8 +151,8 @@ def blocks_of(html: str) -> list[Block]:
         if found[3].endswith("/") and tag in HIDDEN:
             continue
         count += 1
-        inside = any(e.mark > 0 for e in stack)
-        stack.append(Element(tag, count, _mark(tag, found[3], inside), tag in HIDDEN or bool(found[3] and _GONE.search(found[3]))))
+        around = next((e.mark for e in reversed(stack) if e.mark), 0)
+        stack.append(Element(tag, count, _mark(tag, found[3], around), tag in HIDDEN or bool(found[3] and _GONE.search(found[3]))))
     text_until(len(html))
     close()
     return out
