@@ -8,8 +8,10 @@ escape word is followed by a word with one id of up to 64 bits.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +38,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
     ids = ids.astype(np.uint64)
     n = len(ids)
     chosen = np.full(n, ESCAPE, np.int8)
-    step = np.ones(n, np.int64)
-    place = np.arange(n)
     for selector in range(len(PACKS) - 1, -1, -1):
         count, bits = PACKS[selector]
-        wide = ids >= np.uint64(1 << bits)
-        if n > count and n - np.count_nonzero(wide) < count:
+        # Marks where a run of that many narrow ids begins; ids past the end count as narrow.
+        run = np.ones(n + count, bool)
+        run[:n] = ids < np.uint64(1 << bits)
+        if np.count_nonzero(run[:n]) < min(count, n):
             continue
-        # Distance to the next id that is too wide; at the end, fewer ids than fit are enough.
-        reach = np.minimum.accumulate(np.where(wide, place, n)[::-1])[::-1]
-        fits = (reach - place >= count) | (reach == n) & ~wide
-        chosen[fits] = selector
-        step[fits] = np.minimum(count, n - place[fits])
-    starts, i, steps = [], 0, step.tolist()
+        have = 1
+        while have < count:
+            more = min(have, count - have)
+            run[:-more] &= run[more:]
+            have += more
+        chosen[run[:n]] = selector
+    step = np.minimum(np.array([c for c, _ in PACKS] + [1, 1])[chosen], n - np.arange(n))
+    starts, i, steps = [], 0, step.astype(np.uint8).tobytes()
     while i < n:
         starts.append(i)
         i += steps[i]
@@ -115,13 +119,51 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [None if gone else i for i, gone in zip(ids, nulls, strict=True)], offsets, unpack(words, n_ids)
 
 
+#: Words of small Latin letters, which a tokenizer's normalizer and splitter leave as they are.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_STOPS = ".,"
+
+
+def byte_letters() -> dict[int, str]:
+    """What a byte-level tokenizer writes for each of the letters above: one sign for each byte of its UTF-8 form."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = dict(zip(shown, map(chr, shown), strict=True))
+    signs |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in signs)}
+    return {c: "".join(signs[b] for b in chr(c).encode()) for c in range(223, 256)}
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, so that each word can be encoded by itself."""
+    """Ids of texts by a byte-level tokenizer that lower-cases and drops white space, word by word.
+
+    A new word of letters goes straight to the tokenizer's model, any other through the whole tokenizer; full stops
+    and commas behind a word are tokens by themselves.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(vocabulary), {}
+        self.tokenizer, self.known, self.signs = Tokenizer.from_str(vocabulary), {}, byte_letters()
+
+    def _learn(self, new: list[str]) -> None:
+        tokenize, known, odd = self.tokenizer.model.tokenize, self.known, []
+        for word in new:
+            core = word.rstrip(_STOPS)
+            small = core.lower()
+            tail = word[len(core):]
+            if not _PLAIN.fullmatch(small):
+                odd.append(word)
+                continue
+            if tail and tail not in known:
+                known[tail] = self._whole([tail])[0]
+            if (own := known.get(small)) is None:
+                own = known[small] = array("I", [t.id for t in tokenize(small.translate(self.signs))]).tobytes()
+            known[word] = own + known[tail] if tail else own
+        if odd:
+            known.update(zip(odd, self._whole(odd), strict=True))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", f.ids).tobytes() for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -129,8 +171,7 @@ class WordTokenizer:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
         if new:
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self._learn(new)
         return [b"".join([self.known[w] for w in words]) for words in cut]
 
 
