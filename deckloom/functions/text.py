@@ -56,10 +56,10 @@ def rels_source_part(rels_name: Column) -> Column:
 
 
 def safe_name(value: Column) -> Column:
-    """Base name limited to letters, digits, dot, underscore, dash and space, at most 180 long."""
+    """Base name limited to letters, digits, dot, underscore, dash and space."""
     base = F.regexp_extract(value, r"([^/]*)/*$", 1)
     kept = F.regexp_replace(base, r"[^\p{L}\p{N}._\- ]", "")
-    return F.substring(F.regexp_replace(kept, r"^[ .]+|[ .]+$", ""), 1, 180)
+    return F.regexp_replace(kept, r"^[ .]+|[ .]+$", "")
 
 
 def payload_field(payload: Column, field: str) -> Column:

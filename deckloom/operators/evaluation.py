@@ -16,7 +16,6 @@ CACHE_KEYS = ["engine_version", "metric_version", "model", "quality_profile", "l
 COMPLETED_STATUSES = ["success", "cached", "rescored"]
 REVIEW_FLAGS = ["instruction_fulfilled", "content_preserved", "production_notes_removed", "layout_valid",
                 "editability_preserved", "balanced_density"]
-MAX_ISSUES = 32
 
 
 def pass_rates(results: DataFrame, endpoint: str = "endpoint") -> DataFrame:
@@ -92,24 +91,21 @@ def stale_plans(plans: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def average_reviews(votes: DataFrame, keys: list[str], order: str = "vote") -> DataFrame:
-    """Flags that hold in every vote, the mean score, and the first distinct issues (at most 32).
-
-    Issues are ranked in long form; only the kept 32 per key are put together.
-    """
+    """Flags that hold in every vote and the mean score; see ``review_issues`` for what the votes object to."""
     flags = [n for n in REVIEW_FLAGS if n in votes.columns]
     base = votes.groupBy(*keys).agg(
         F.count("*").alias("votes"), *[F.bool_and(n).alias(n) for n in flags], F.sum("score").alias("_s"),
         F.avg("relative_improvement").alias("_r"))
-    base = base.withColumns({"score": F.round(c("_s") / c("votes"), 4),
+    return base.withColumns({"score": F.round(c("_s") / c("votes"), 4),
                              "relative_improvement": F.round("_r", 4)}).drop("_s", "_r")
+
+
+def review_issues(votes: DataFrame, keys: list[str], order: str = "vote") -> DataFrame:
+    """Every distinct issue of a key with its rank by first mention: (keys, rank, issue), in long form."""
     rows = votes.select(*keys, order, F.posexplode("issues").alias("_p", "issue"))
     first = rows.groupBy(*keys, "issue").agg(F.min(F.struct(order, "_p")).alias("_o"))
-    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "issue"))).filter(
-        c("_n") <= MAX_ISSUES)
-    issues = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "issue"))).alias("_i")).select(
-        *keys, F.transform("_i", lambda i: i.issue).alias("issues"))
-    return base.join(issues, keys, "left").withColumn(
-        "issues", F.coalesce(c("issues"), F.array().cast("array<string>")))
+    return first.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "issue")).cast("bigint").alias("rank"),
+                        "issue")
 
 
 def average_scores(votes: DataFrame, keys: list[str], scores: str) -> DataFrame:
@@ -127,32 +123,39 @@ def list_recent(rows: DataFrame, created: str = "created_at", tie: str = "sequen
     return kept.orderBy(c(created).desc(), c(tie).desc())
 
 
-def lineage(jobs: DataFrame, job: str = "job_id", parent: str = "parent_job_id", max_rounds: int = 40) -> DataFrame:
+def lineage(jobs: DataFrame, job: str = "job_id", parent: str = "parent_job_id") -> DataFrame:
     """Root and depth of every job, following parents.
 
-    Pointer doubling: every round joins the unfinished jobs to the whole table and doubles the
-    distance covered, so a chain of depth d takes log2(d) joins. Each round is written to the
-    shared folder, which keeps the plan short and survives lost executors. A parent that is not
-    in the table ends the chain at its child.
+    Pointer doubling: every round joins the jobs that have not reached a root with all jobs' last
+    known ancestors and doubles the distance covered, so a chain of depth d takes log2(d) joins. Only unfinished jobs are
+    carried on and written to the shared folder; finished ones stay where the round left them. A parent that is not in the table
+    ends the chain at its child. Links form a cycle as soon as a round brings no job to a root.
     """
     ids = jobs.select(c(job).alias("_known"))
     linked = jobs.select(job, parent).join(ids, c(parent) == c("_known"), "left")
-    state = materialize(linked.select(
-        job, F.coalesce(c("_known"), c(job)).alias("_up"), F.when(c("_known").isNull(), 0).otherwise(1)
-        .cast("bigint").alias("depth")), "lineage")
-    for _ in range(max_rounds):
-        step = state.select(c(job).alias("_up"), c("_up").alias("_up2"), c("depth").alias("_d2"))
-        # A job that points at a root (depth 0) is done and finds no partner.
-        moving = step.filter(c("_d2") > 0)
-        joined = state.join(moving, "_up", "left")
-        state = materialize(joined.select(
-            job, F.coalesce(c("_up2"), c("_up")).alias("_up"),
-            (c("depth") + F.coalesce(c("_d2"), F.lit(0))).alias("depth"),
-            c("_up2").isNotNull().alias("_moved")), "lineage")
-        if state.filter("_moved").limit(1).count() == 0:
-            return state.select(job, c("_up").alias("root_id"), "depth")
-        state = state.drop("_moved")
-    raise ValueError("parent links form a cycle")
+    # ``_up`` is the ancestor ``depth`` steps above; a root stands above itself.
+    start = linked.select(job, F.coalesce(c("_known"), c(job)).alias("_up"),
+                          F.when(c("_known").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
+    start = materialize(start, "lineage")
+    finished, left = start.filter(c("depth") == 0), start.filter(c("depth") > 0)
+    done, n_left = [finished], left.count()
+    roots = finished.select(c(job).alias("_up"), c("_up").alias("_root"), c("depth").alias("_above"))
+    while n_left:
+        step = left.select(c(job).alias("_up"), c("_up").alias("_next"), c("depth").alias("_d"))
+        moved = materialize(left.join(roots, "_up", "left").join(step, "_up", "left").select(
+            job, F.coalesce("_root", "_next", "_up").alias("_up"),
+            (c("depth") + F.coalesce("_above", "_d", F.lit(0))).alias("depth"), c("_root").isNotNull().alias("_ended")), "lineage")
+        ended = moved.filter("_ended").drop("_ended")
+        left = moved.filter("NOT _ended").drop("_ended")
+        before, n_left = n_left, left.count()
+        if n_left == before:
+            raise ValueError("parent links form a cycle")
+        done.append(ended)
+        roots = roots.unionByName(ended.select(c(job).alias("_up"), c("_up").alias("_root"), c("depth").alias("_above")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(job, c("_up").alias("root_id"), "depth")
 
 
 def expire_jobs(jobs: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:

@@ -362,7 +362,7 @@ def page_assign(shapes: DataFrame, page_w: float, page_h: float, allow_split: bo
     need = F.ceil((c("y") + c("h") - bottom) / usable)
     # The division may land one page high where the sum is exactly at the limit.
     need = F.when(c("y") - (need - 1) * usable + c("h") <= bottom, need - 1).otherwise(need)
-    page = F.least(F.greatest(first, need), F.lit(201))
+    page = F.greatest(first, need)
     gone = c("_low") & (c("_tall") | (over & F.lit(not allow_split)))
     step = step.withColumns({"_over": over, "_gone": gone})
     step = step.withColumn("_page", F.when(c("_gone"), F.lit(None)).when(
@@ -374,7 +374,7 @@ def page_assign(shapes: DataFrame, page_w: float, page_h: float, allow_split: bo
               .when(c("_tall"), "resize").otherwise("none"))
     step = step.withColumns({"action": action, "resized": c("_tall") & ~c("_gone"),
                              "y": F.when(c("_over") & ~c("_gone"), vl.round_up(moved, 4)).otherwise(c("y"))})
-    # At most 202 pages per slide, so the numbering below is small however many shapes there are.
+    # The numbering below sees each page once, however many shapes there are.
     pages = step.filter(c("_page").isNotNull()).select(slide_key, "_page").distinct()
     numbered = pages.withColumn("page", (F.row_number().over(
         Window.partitionBy(slide_key).orderBy("_page")) - 1).cast("bigint"))

@@ -322,13 +322,12 @@ def sections_apply(sections: DataFrame, ops: DataFrame, deck: str = "deck_id") -
 
     ``sections``: deck, position, name, slides array; ``ops``: deck, op_seq, action, name,
     new_name, slides array. An added section takes its slides from the others and emptied
-    sections vanish. A plan may hold 64 operations; a deck with more is rejected unchanged, so
-    the ordered fold of a deck stays small.
+    sections vanish. The plan of a deck is one ordered fold and is applied whatever its size; more
+    than 64 operations break the contract and are reported beside the result.
     """
     counts = ops.groupBy(deck).agg(F.count("*").alias("_n"))
     too_many = counts.filter(c("_n") > MAX_SECTION_OPS).select(deck)
-    usable = ops.join(too_many, deck, "left_anti")
-    steps = usable.groupBy(deck).agg(F.array_sort(F.collect_list(
+    steps = ops.groupBy(deck).agg(F.array_sort(F.collect_list(
         F.struct("op_seq", "action", "name", "new_name", "slides"))).alias("_ops"))
     start = sections.groupBy(deck).agg(F.array_sort(F.collect_list(
         F.struct("position", "name", "slides"))).alias("_s")).select(
@@ -363,8 +362,8 @@ def sections_apply(sections: DataFrame, ops: DataFrame, deck: str = "deck_id") -
     result = done.select(deck, F.posexplode("_r.s").alias("position", "_x")).select(
         deck, "position", c("_x.name").alias("name"), c("_x.slides").alias("slides"))
     errors = done.select(deck, F.explode("_r.e").alias("_x")).select(deck, "_x.op_seq", "_x.rule")
-    rejected = too_many.select(deck, F.lit(None).cast("bigint").alias("op_seq"), F.lit("too_many_operations").alias("rule"))
-    return result, errors.unionByName(rejected)
+    breach = too_many.select(deck, F.lit(None).cast("bigint").alias("op_seq"), F.lit("too_many_operations").alias("rule"))
+    return result, errors.unionByName(breach)
 
 
 def merge_operations(ops: DataFrame, slide: str = "slide_index", op: str = "op_id") -> DataFrame:

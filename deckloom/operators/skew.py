@@ -39,7 +39,10 @@ def position(df: DataFrame, keys: list[str], order: list[str], out: str,
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by ``order``; combines before the shuffle, no sort."""
+    """The first row of each key by ``order``, then by the other columns: the least struct, combined before the shuffle.
+
+    Structs with strings are combined by sorting, so keep this off wide tables on the common path.
+    """
     rest = [c for c in df.columns if c not in keys]
     lead = [c for c in order if c in rest]
     body = F.struct(*lead, *[c for c in rest if c not in lead])

@@ -34,8 +34,6 @@ def violations(t):
     v = t.fx_text_version.select(c("doc_id").alias("deck_id"), F.lit(1).alias("slide_index"), "before_text", "after_text")
     keys = ["deck_id", "slide_index"]
     slides = v.select(*keys)
-    # Equal texts have equal tokens: no need to cut them up.
-    v = v.filter(c("before_text") != c("after_text"))
     return slides, con.invariant_pairs(con.tokens(v, keys, "before_text"), con.tokens(v, keys, "after_text"),
                                        slides, slides)
 
@@ -106,13 +104,16 @@ def wn18(t):
         "slide_id", "source", "normalized", "turn", "priority")
 
 
-@query("prj21_secret_scan", "fx_text_file", "", r"""
+SECRET_SQL = r"""
 SELECT path, unnest(list_filter([
  CASE WHEN regexp_extract(path, '(\.[^./]+)$', 1) IN ('.pptx', '.pptm', '.pdf', '.png', '.jpg', '.jpeg', '.webp', '.zip') THEN 'forbidden_suffix' END,
  CASE WHEN regexp_extract(path, '([^/]*)$', 1) = '.env' THEN 'environment_file' END,
  CASE WHEN len(list_filter(regexp_extract_all(content, '\bsk-[A-Za-z0-9_-]{20,}'), lambda k: NOT regexp_matches(k, '^sk-(example|test|your)'))) > 0 THEN 'api_key' END,
  CASE WHEN regexp_matches(content, '\bgh[opsu]_[A-Za-z0-9]{30,}') THEN 'access_token' END,
- CASE WHEN regexp_matches(content, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private_key' END], lambda r: r IS NOT NULL)) AS rule FROM fx_text_file""")
+ CASE WHEN regexp_matches(content, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private_key' END], lambda r: r IS NOT NULL)) AS rule FROM fx_text_file"""
+
+
+@query("prj21_secret_scan", "fx_text_file", "", SECRET_SQL)
 def prj21(t):
     return con.secret_scan(t.fx_text_file)
 

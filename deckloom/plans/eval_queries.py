@@ -164,19 +164,25 @@ def wn07(t):
     return gt.accepted_trail(cands, "run_id", "case_id")
 
 
-@query("ag21_average_reviews", "fx_review", """v AS (SELECT *, CASE WHEN score_tenths < 50 THEN 'low contrast' ELSE 'crowded ' || score_tenths % 5 END AS issue FROM fx_review),
-fi AS (SELECT candidate_id, issue, min(slide_id) AS o FROM v GROUP BY 1, 2),
-iss AS (SELECT candidate_id, string_agg(issue, '|' ORDER BY o) AS issues FROM fi GROUP BY 1)""", """
+@query("ag21_average_reviews", "fx_review", "v AS (SELECT * FROM fx_review)", """
 SELECT candidate_id, count(*) AS votes, bool_and(content_preserved) AS content_preserved, bool_and(layout_valid) AS layout_valid,
- round(CAST(sum(score_tenths) AS DOUBLE) / count(*), 4) AS score, any_value(issues) AS issues FROM v JOIN iss USING (candidate_id) GROUP BY 1""")
+ round(CAST(sum(score_tenths) AS DOUBLE) / count(*), 4) AS score FROM v GROUP BY 1""")
 def ag21(t):
+    return ev.average_reviews(review_votes(t), ["candidate_id"]).drop("relative_improvement")
+
+
+@query("ag21_review_issues", "fx_review", """fi AS (SELECT candidate_id, CASE WHEN score_tenths < 50 THEN 'low contrast' ELSE 'crowded ' || score_tenths % 50 END AS issue, min(slide_id) AS o FROM fx_review GROUP BY 1, 2)""", """
+SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY o, issue) AS rank, issue FROM fi""")
+def ag21c(t):
+    return ev.review_issues(review_votes(t), ["candidate_id"])
+
+
+def review_votes(t):
     issue = F.when(c("score_tenths") < 50, "low contrast").otherwise(
-        F.concat(F.lit("crowded "), (c("score_tenths") % 5).cast("string")))
-    votes = t.fx_review.select("candidate_id", c("slide_id").alias("vote"), "content_preserved", "layout_valid",
+        F.concat(F.lit("crowded "), (c("score_tenths") % 50).cast("string")))
+    return t.fx_review.select("candidate_id", c("slide_id").alias("vote"), "content_preserved", "layout_valid",
                                c("score_tenths").alias("score"), F.lit(None).cast("double").alias("relative_improvement"),
                                F.array(issue).alias("issues"))
-    return ev.average_reviews(votes, ["candidate_id"]).drop("relative_improvement").withColumn(
-        "issues", F.array_join("issues", "|"))
 
 
 @query("ag21_average_scores", "fx_review", """m AS (SELECT candidate_id, unnest(['layout', CASE WHEN content_preserved THEN 'content' END]) AS name, score_tenths FROM fx_review),

@@ -39,8 +39,8 @@ SELECT doc_id, lang, text AS before_text, CASE doc_id % 6 WHEN 0 THEN lower(text
     "fx_instruction": """
 SELECT conv_id AS slide_id, turn, CASE role WHEN 'system' THEN 'api' WHEN 'user' THEN 'comment' ELSE 'visible_callout' END AS source,
  CAST(CASE role WHEN 'system' THEN 100 WHEN 'user' THEN 80 ELSE 40 END AS BIGINT) AS priority,
- CASE WHEN turn % 3 = 0 THEN concat('Please move ', substring(text, 1, 24))
-  WHEN turn % 3 = 1 THEN '  please  move the logo ' ELSE text END AS raw_text FROM {conversations}""",
+ CASE WHEN turn % 3 = 0 THEN concat('Please move ', text)
+  WHEN turn % 3 = 1 THEN concat('  please  move the logo ', text) ELSE text END AS raw_text FROM {conversations}""",
     "fx_review": """
 SELECT d.doc_id AS slide_id, d.doc_id % 25 AS candidate_id, l.quality = 1 AS content_preserved, l.toxic = 0 AS layout_valid,
  (d.doc_id * 7) % 101 AS score_tenths FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
@@ -52,28 +52,31 @@ SELECT p_partkey AS part_id, p_name AS part_name, CAST(p_size AS BIGINT) AS size
     "fx_component_instance": """
 SELECT l_orderkey AS slide_id, CAST(l_linenumber AS BIGINT) AS shape_id, (l_partkey * 37) % 12 AS component_id,
  (l_partkey * 37) % 1200 AS x, (l_suppkey * 53) % 680 AS y, 20 + CAST(l_quantity AS BIGINT) * 8 AS width,
- 12 + (l_partkey * 11) % 160 AS height FROM {lineitem} WHERE l_returnflag = 'N'""",
+ 12 + (l_partkey * 11) % 160 AS height FROM {lineitem}""",
     "fx_component_primitive": """
 SELECT CAST(n_nationkey % 10 AS BIGINT) AS component_id, CAST(n_nationkey AS BIGINT) AS primitive_id,
  CAST(n_nationkey % 4 AS DOUBLE) / 4 AS ux, CAST(n_nationkey % 3 AS DOUBLE) / 4 AS uy,
  CAST(0.25 AS DOUBLE) AS uw, CAST(0.25 AS DOUBLE) AS uh FROM {nation}""",
+    # One operation for each line, two for a shape; every 23rd part's operation names a shape that is not there.
     "fx_patch_op": """
-SELECT l_orderkey AS slide_id, CAST(l_linenumber AS BIGINT) AS target_shape_id, CAST(l_linenumber % 5 AS BIGINT) AS op_no,
+SELECT l_orderkey AS slide_id, CAST(floor((rn + 1) / 2.0) AS BIGINT) + CASE WHEN l_partkey % 23 = 0 THEN 1000 ELSE 0 END AS target_shape_id, rn AS op_no,
  CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'move' WHEN 1 THEN 'resize' WHEN 2 THEN 'recolor'
   WHEN 3 THEN 'delete' ELSE 'align' END AS action,
  (l_partkey % 21) - 10 AS dx_pt, (l_suppkey % 21) - 10 AS dy_pt, 30 + l_partkey % 90 AS width_pt,
- 20 + l_suppkey % 60 AS height_pt FROM {lineitem} WHERE l_linenumber <= 3""",
+ 20 + l_suppkey % 60 AS height_pt
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS rn FROM {lineitem}) r""",
     "fx_text_file": """
 SELECT doc_id, concat('f', CAST(doc_id AS VARCHAR(20)), CASE doc_id % 8 WHEN 0 THEN '.pptx' WHEN 1 THEN '.png'
  WHEN 2 THEN '/.env' ELSE '.md' END) AS path,
  CASE WHEN doc_id % 50 = 3 THEN concat(text, ' ghp_', repeat('a', 36)) ELSE text END AS content FROM {documents}""",
     "fx_lineage": """
 SELECT o_orderkey AS job_id, CASE WHEN o_orderkey > 0 THEN CAST(floor(o_orderkey / 2.0) AS BIGINT) END AS parent_job_id FROM {orders}""",
-    # One row per (slide, shape): the least of the remaining columns, since ids repeat.
+    # Ids repeat in fx_shape: here every row has one of its own, by a total order within its slide.
     "fx_shape_key": """
-SELECT deck_id, slide_id, shape_id, kind, name, text, x_pt, y_pt, w_pt, h_pt, rot_deg, font_pt, fill_color
-FROM (SELECT s.*, row_number() OVER (PARTITION BY slide_id, shape_id
-  ORDER BY kind, name, text, x_pt, y_pt, w_pt, h_pt, rot_deg, font_pt, fill_color) AS rn FROM {fx_shape} s) r WHERE rn = 1""",
+SELECT deck_id, slide_id, rn AS shape_id, kind, name, text, x_pt, y_pt, w_pt, h_pt, rot_deg, font_pt, fill_color
+FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY slide_id
+  ORDER BY shape_id, kind, name, text, x_pt, y_pt, w_pt, h_pt, rot_deg, font_pt, fill_color) AS BIGINT) AS rn FROM {fx_shape} s) r""",
 }
 
 # The pixel view differs only in how an array is unrolled.
@@ -94,11 +97,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or an analysis view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "fx_shape_key":
-        from deckloom.operators.skew import first_by
-
-        return first_by(table(spark, sf_dir, "fx_shape"), ["slide_id", "shape_id"],
-                        "kind name text x_pt y_pt w_pt h_pt rot_deg font_pt fill_color".split())
     text = PIXEL_SPARK if name == "fx_pixel" else VIEWS[name]
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in _names(text)})
 

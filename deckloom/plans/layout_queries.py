@@ -252,7 +252,7 @@ a AS (SELECT *, h0 > 7.3::DOUBLE AS tall, CASE WHEN h0 > 7.3::DOUBLE THEN 7.3::D
  CASE WHEN h0 > 7.3::DOUBLE THEN 0.1::DOUBLE ELSE greatest(0.1::DOUBLE, y0) END AS y FROM ty),
 b AS (SELECT *, y + h > 7.4::DOUBLE AS over, ceil((y + h - 7.4::DOUBLE) / (7.4::DOUBLE - 0.1::DOUBLE)) AS need,
  greatest(1, floor((y - 0.1::DOUBLE) / (7.4::DOUBLE - 0.1::DOUBLE))) AS frst FROM a),
-d AS (SELECT *, CASE WHEN NOT over THEN 0 ELSE least(201, greatest(frst, CASE WHEN y - (need - 1) * (7.4::DOUBLE - 0.1::DOUBLE) + h <= 7.4::DOUBLE THEN need - 1 ELSE need END)) END AS p FROM b)"""
+d AS (SELECT *, CASE WHEN NOT over THEN 0 ELSE greatest(frst, CASE WHEN y - (need - 1) * (7.4::DOUBLE - 0.1::DOUBLE) + h <= 7.4::DOUBLE THEN need - 1 ELSE need END) END AS p FROM b)"""
 
 
 @query("prj20_page_assign", "fx_shape", PAGE_CTE, """

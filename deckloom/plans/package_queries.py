@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deckloom.operators import package as pkg
+from deckloom.plans.content_queries import SECRET_SQL
 from deckloom.plans.registry import query
+from deckloom.session import shared_dir
 from deckloom.sources import packages as src
 
 c = F.col
@@ -113,11 +115,14 @@ def ag35(t):
     return pkg.roundtrip_stability(before, after, score, "deck").select("deck", "object_count_stable", "compatible")
 
 
-@query("src09_secret_files", "fx_text_file", "", r"""
-SELECT path, CASE WHEN regexp_matches(content, '\bgh[opsu]_[A-Za-z0-9]{30,}') THEN 'access_token' END AS rule FROM fx_text_file WHERE regexp_matches(content, '\bgh[opsu]_[A-Za-z0-9]{30,}')""")
+@query("src09_secret_files", "fx_text_file", "", SECRET_SQL)
 def src09(t):
-    """Texts pass through the reader's UTF-8 check before the scan."""
+    """Every text is written as a file of its own and read back by the reader; all rules scan it."""
     from deckloom.operators.content import secret_scan
+    from deckloom.sources.files import read_text_corpus
 
-    files = t.fx_text_file.select("path", F.try_validate_utf8(F.encode("content", "UTF-8").cast("string")).alias("content"))
-    return secret_scan(files).filter("rule = 'access_token'")
+    root = shared_dir(t.spark, "text-corpus")
+    t.fx_text_file.select("doc_id", "content").write.partitionBy("doc_id").text(root)
+    number = F.regexp_extract("path", "doc_id=(-?[0-9]+)/", 1).cast("bigint")
+    files = read_text_corpus(t.spark, root).select(number.alias("doc_id"), "content")
+    return secret_scan(t.fx_text_file.select("doc_id", "path").join(files, "doc_id"))

@@ -41,23 +41,23 @@ def se05(t):
 
 
 @query("se05_op_violations", "fx_shape_key fx_patch_op", OPS_CTE + """,
-kn AS (SELECT slide_id, shape_id FROM fx_shape_key WHERE font_pt > 7),
+kn AS (SELECT slide_id, shape_id FROM fx_shape_key),
 de AS (SELECT slide_id, target_shape_id, min(op_seq) AS gone_at FROM ops WHERE action = 'delete' GROUP BY 1, 2)""", """
 SELECT ops.slide_id, op_seq, 'missing_target' AS rule FROM ops LEFT JOIN kn ON kn.slide_id = ops.slide_id AND kn.shape_id = ops.target_shape_id LEFT JOIN de ON de.slide_id = ops.slide_id AND de.target_shape_id = ops.target_shape_id
 WHERE action <> 'delete' AND (kn.shape_id IS NULL OR coalesce(gone_at < op_seq, FALSE))""")
 def se05b(t):
-    return pt.apply_shape_ops(t.fx_shape_key.filter("font_pt > 7"), ops(t))[1]
+    return pt.apply_shape_ops(t.fx_shape_key, ops(t))[1]
 
 
 @query("jn10_patch_plan_violations", "fx_shape_key fx_patch_op", OPS_CTE + """,
-sh AS (SELECT *, CASE WHEN kind = 'pic' THEN name || ' Logo' ELSE name END AS nm FROM fx_shape_key WHERE font_pt > 7),
+sh AS (SELECT *, CASE WHEN kind = 'pic' THEN name || ' Logo' ELSE name END AS nm FROM fx_shape_key),
 j AS (SELECT ops.*, sh.shape_id, sh.text, sh.w_pt, sh.h_pt, sh.rot_deg, coalesce(contains(lower(nm || ' ' || text), 'logo'), FALSE) AS logo FROM ops LEFT JOIN sh ON sh.slide_id = ops.slide_id AND sh.shape_id = ops.target_shape_id)""", """
 SELECT slide_id, op_seq, unnest(list_filter([CASE WHEN slide_id % 3 = 0 THEN 'unselected_slide' END, CASE WHEN shape_id IS NULL THEN 'unknown_target' END,
  CASE WHEN rot_deg = 30 AND action IN ('delete', 'recolor') THEN 'protected_shape' END, CASE WHEN action = 'delete' AND (shape_id IS NULL OR text <> '') THEN 'content_bearing_shape' END,
  CASE WHEN logo AND action = 'recolor' THEN 'logo_restyled' END,
  CASE WHEN logo AND action = 'resize' AND abs(w_pt / h_pt::DOUBLE - width_pt / height_pt::DOUBLE) / (w_pt / h_pt::DOUBLE) > 0.005 THEN 'logo_aspect_changed' END], lambda r: r IS NOT NULL)) AS rule FROM j""")
 def jn10(t):
-    shapes = t.fx_shape_key.filter("font_pt > 7").withColumn(
+    shapes = t.fx_shape_key.withColumn(
         "name", F.when(c("kind") == "pic", F.concat("name", F.lit(" Logo"))).otherwise(c("name")))
     selected = t.fx_shape_key.select("slide_id").distinct().filter("slide_id % 3 <> 0")
     protected = shapes.filter("rot_deg = 30").select("slide_id", "shape_id")
@@ -82,7 +82,7 @@ def jn11(t):
 
 
 @query("se04_apply_graph_patch", "fx_shape_key", """up AS (SELECT slide_id, shape_id AS element_id, 'new ' || name AS name, shape_id AS p FROM fx_shape_key WHERE kind = 'pic'
- UNION ALL SELECT slide_id, shape_id + 100, name, shape_id FROM fx_shape_key WHERE kind = 'sp'),
+ UNION ALL SELECT slide_id, shape_id + 1000, name, shape_id FROM fx_shape_key WHERE kind = 'sp'),
 k AS (SELECT slide_id, shape_id AS element_id, shape_id * 10 AS ordinal, name FROM fx_shape_key),
 l AS (SELECT slide_id, max(ordinal) AS last FROM k GROUP BY 1),
 kept AS (SELECT k.* FROM k JOIN fx_shape_key f ON f.slide_id = k.slide_id AND f.shape_id = k.element_id WHERE f.kind <> 'graphicFrame')""", """
@@ -94,7 +94,7 @@ def se04(t):
     upserts = k.filter("kind = 'pic'").select(
         "slide_id", c("shape_id").alias("element_id"), F.concat(F.lit("new "), "name").alias("name"),
         c("shape_id").alias("patch_order")).unionByName(k.filter("kind = 'sp'").select(
-            "slide_id", (c("shape_id") + 100).alias("element_id"), "name", c("shape_id").alias("patch_order")))
+            "slide_id", (c("shape_id") + 1000).alias("element_id"), "name", c("shape_id").alias("patch_order")))
     removes = k.filter("kind = 'graphicFrame'").select("slide_id", c("shape_id").alias("element_id"))
     return pt.apply_graph_patch(elements, upserts, removes, ["slide_id"])
 
@@ -137,13 +137,13 @@ def wn16(t):
     return pt.distribute_shapes(members(t), ["slide_id"]).select("slide_id", "shape_id", "x")
 
 
-@query("wn17_z_reorder", "fx_shape_key", """z AS (SELECT slide_id, shape_id, CASE WHEN kind = 'pic' THEN 2 WHEN font_pt > 20 THEN 0 ELSE 1 END AS layer, CASE WHEN kind = 'pic' THEN font_pt * 10 + shape_id WHEN font_pt > 20 THEN -(font_pt * 10 + shape_id) ELSE shape_id END AS r FROM fx_shape_key)""", """
+@query("wn17_z_reorder", "fx_shape_key", """z AS (SELECT slide_id, shape_id, CASE WHEN kind = 'pic' THEN 2 WHEN font_pt > 20 THEN 0 ELSE 1 END AS layer, CASE WHEN kind = 'pic' THEN font_pt * 1000 + shape_id WHEN font_pt > 20 THEN -(font_pt * 1000 + shape_id) ELSE shape_id END AS r FROM fx_shape_key)""", """
 SELECT slide_id, shape_id, CAST(row_number() OVER (PARTITION BY slide_id ORDER BY layer, r) AS BIGINT) AS z FROM z""")
 def wn17(t):
     k = t.fx_shape_key
     action = F.when(c("kind") == "pic", "bring_to_front").when(c("font_pt") > 20, "send_to_back").otherwise("move")
     plan = k.select("slide_id", c("shape_id").alias("target_shape_id"), action.alias("action"),
-                    (c("font_pt") * 10 + c("shape_id")).alias("op_seq"))
+                    (c("font_pt") * 1000 + c("shape_id")).alias("op_seq"))
     return pt.z_reorder(k.select("slide_id", "shape_id", c("shape_id").alias("z")), plan).select(
         "slide_id", "shape_id", "z")
 

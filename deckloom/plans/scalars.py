@@ -110,7 +110,7 @@ def fn09(t):
 
 
 @query("fn10_safe_name", "part", "", r"""
-SELECT p_partkey, left(trim(regexp_replace(regexp_extract('dir/' || p_name || '*?' || p_brand || '. ', '([^/]*)/*$', 1), '[^\p{L}\p{N}._\- ]', '', 'g'), ' .'), 180) AS name FROM part""")
+SELECT p_partkey, trim(regexp_replace(regexp_extract('dir/' || p_name || '*?' || p_brand || '. ', '([^/]*)/*$', 1), '[^\p{L}\p{N}._\- ]', '', 'g'), ' .') AS name FROM part""")
 def fn10(t):
     raw = F.concat(F.lit("dir/"), "p_name", F.lit("*?"), "p_brand", F.lit(". "))
     return t.part.select("p_partkey", tx.safe_name(raw).alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deckloom.functions import text as tx
 from deckloom.operators.skew import first_by
+from deckloom.operators.tiles import materialize
 
 c = F.col
 
@@ -54,29 +55,42 @@ def media_type(name: Column) -> Column:
 
 
 def register_artifacts(new: DataFrame, path: str, buckets: int = 64) -> DataFrame:
-    """Append artifacts (job_id, name, kind, content, parent_artifact_id, created_at); returns what was added.
+    """Append artifacts (job_id, name, kind, content, parent_artifact_id, created_at); returns the rejected ones.
 
-    Names are made safe and are unique per job; a name the job already has is skipped. Files are
+    Names are made safe and are unique per job. Every row that is not appended comes back as
+    (job_id, given_name, name, sha256, reason): ``empty_name`` where nothing of the name is safe, ``name_taken`` where
+    the job has the name already, ``name_repeated`` where an earlier row of ``new`` takes it. Files are
     partitioned by a hash bucket of the job, so very many jobs do not make very many folders.
     """
-    rows = new.select(
-        "job_id", tx.safe_name(c("name")).alias("name"), "kind", F.length("content").cast("bigint").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"), media_type(c("name")).alias("media_type"), "parent_artifact_id",
-        "created_at").filter(c("name") != "")
-    rows = first_by(rows, ["job_id", "name"], ["created_at", "sha256"])
-    rows = rows.withColumns({
+    rows = materialize(new.select(
+        F.monotonically_increasing_id().alias("_row"), "job_id", c("name").alias("given_name"), tx.safe_name(c("name")).alias("name"),
+        "kind", F.length("content").cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
+        media_type(c("name")).alias("media_type"), "parent_artifact_id", "created_at"), "artifacts-new")
+    empty = F.coalesce(c("name"), F.lit("")) == ""
+    named = rows.filter(~empty)
+    have = existing(new.sparkSession, path)
+    if have is None:
+        taken, free = named.limit(0), named
+    else:
+        # Read once: the appended rows must not count as taken.
+        known = materialize(have.select("job_id", "name").join(named.select("job_id", "name"), ["job_id", "name"], "left_semi").distinct(),
+                            "artifacts-known")
+        taken = named.join(known, ["job_id", "name"], "left_semi")
+        free = named.join(known, ["job_id", "name"], "left_anti")
+    first = materialize(first_by(free, ["job_id", "name"], ["created_at", "sha256", "given_name", "_row"]), "artifacts-added")
+    added = first.drop("_row", "given_name").withColumns({
         "artifact_id": F.sha2(F.concat_ws("/", c("job_id").cast("string"), "name"), 256),
         "job_bucket": F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")})
-    have = existing(new.sparkSession, path)
-    if have is not None:
-        rows = rows.join(have.select("job_id", "name"), ["job_id", "name"], "left_anti")
-    rows.write.mode("append").partitionBy("job_bucket").parquet(path)
-    return rows
+    added.write.mode("append").partitionBy("job_bucket").parquet(path)
+    repeated = free.join(first.select("_row"), "_row", "left_anti")
+    parts = [df.select("job_id", "given_name", "name", "sha256", F.lit(reason).alias("reason")) for df, reason in (
+        (rows.filter(empty), "empty_name"), (taken, "name_taken"), (repeated, "name_repeated"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def catalog_append(new: DataFrame, path: str, key: str = "sha256") -> None:
-    """Append catalogue rows whose key is not there yet; doing it twice changes nothing."""
-    rows = new.dropDuplicates([key])
+    """Append catalogue rows whose key is not there yet, of equal keys the least row; doing it twice changes nothing."""
+    rows = first_by(new, [key], [n for n in new.columns if n != key])
     have = existing(new.sparkSession, path)
     if have is not None:
         rows = rows.join(have.select(key), key, "left_anti")

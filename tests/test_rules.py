@@ -239,13 +239,21 @@ def test_sections(table):
     have = table([("d", 0, "Intro", [1, 2]), ("d", 1, "Body", [3])], "deck_id string, position int, name string, slides array<bigint>")
     schema = "deck_id string, op_seq bigint, action string, name string, new_name string, slides array<bigint>"
     plan = table([("d", 1, "add", "End", None, [2, 3]), ("d", 2, "rename", "intro", "Start", []), ("d", 3, "remove", "Body", None, []),
-                  ("d", 4, "add", "END", None, [1])] + [("e", i, "remove", "x", None, []) for i in range(65)], schema)
+                  ("d", 4, "add", "END", None, [1])] + [("e", i, "add", f"s{i}", None, [i]) for i in range(100)], schema)
     out, bad = patches.sections_apply(have, plan)
-    assert rows(out, "position", "name", "slides") == [(0, "Start", [1]), (1, "End", [2, 3])]
+    assert rows(out.filter("deck_id = 'd'"), "position", "name", "slides") == [(0, "Start", [1]), (1, "End", [2, 3])]
+    assert rows(out.filter("deck_id = 'e'"), "position", "name", "slides") == [(i, f"s{i}", [i]) for i in range(100)]
     assert rows(bad, "deck_id", "op_seq", "rule") == [
         ("d", 3, "section_not_found"), ("d", 4, "section_exists"), ("e", None, "too_many_operations")]
 
 
+def test_far_pages_keep_their_own(table):
+    far = table([(1, i, "shape", "x", 1.0, 1000.0 * (i + 2), 1.0, 1.0) for i in range(3)],
+                "slide_id int, shape_id int, type string, text string, x double, y double, w double, h double")
+    got = rows(layout.page_assign(far, 13.333, 7.5), "shape_id", "page", "action")
+    assert got == [(0, 0, "split"), (1, 1, "split"), (2, 2, "split")]
+
+
 def test_align_distribute_group(table):
     m = table([(1, 1, "center", 0, 0, 10, 10), (1, 2, "center", 100, 7, 30, 10)], "op int, shape_id int, alignment string, x int, y int, w int, h int")
     # Centres 5 and 115: the goal is 60.
@@ -338,7 +346,10 @@ def test_average_reviews_orders_issues(table):
     df = table([("k", 1, 8.0, True, None, ["b", "a"], {"layout": 8.0}), ("k", 2, 9.0, False, 2.0, ["a", "c"], {"layout": 9.0, "text": 6.0})],
                "id string, vote int, score double, layout_valid boolean, relative_improvement double, issues array<string>, rubric map<string,double>")
     r = evaluation.average_reviews(df, ["id"]).first()
-    assert (r.score, r.layout_valid, r.relative_improvement, r.issues) == (8.5, False, 2.0, ["b", "a", "c"])
+    assert (r.score, r.layout_valid, r.relative_improvement) == (8.5, False, 2.0)
+    many = df.unionByName(df.limit(1).withColumns({"id": F.lit("m"), "issues": F.array(*[F.lit(f"i{i:02}") for i in range(40)])}))
+    assert rows(evaluation.review_issues(many, ["id"]), "id", "rank", "issue") == [
+        ("k", 1, "b"), ("k", 2, "a"), ("k", 3, "c"), *[("m", i + 1, f"i{i:02}") for i in range(40)]]
     assert rows(evaluation.average_scores(df, ["id"], "rubric"), "name", "score") == [("layout", 8.5), ("text", 3.0)]
 
 
@@ -347,7 +358,9 @@ def test_lineage_of_long_and_broken_chains(table):
     out = evaluation.lineage(table(chain, "job_id bigint, parent_job_id bigint"))
     assert rows(out.filter("job_id in (0, 39, 100)"), "job_id", "root_id", "depth") == [(0, 0, 0), (39, 0, 39), (100, 100, 0)]
     with pytest.raises(ValueError, match="cycle"):
-        evaluation.lineage(table([(1, 2), (2, 1)], "job_id bigint, parent_job_id bigint"), max_rounds=5)
+        evaluation.lineage(table([(1, 2), (2, 1)], "job_id bigint, parent_job_id bigint"))
+    with pytest.raises(ValueError, match="cycle"):
+        evaluation.lineage(table([(0, None), (5, 0), (1, 2), (2, 3), (3, 1)], "job_id bigint, parent_job_id bigint"))
 
 
 def test_expired_jobs_keep_malformed_stamps(table):

@@ -214,10 +214,15 @@ def test_summary_names_and_overwrite(table, tmp_path):
 def test_artifacts_are_unique_per_job(spark, table, tmp_path):
     schema = "job_id string, name string, kind string, content binary, parent_artifact_id string, created_at string"
     path = str(tmp_path / "artifacts")
-    sinks.register_artifacts(table([("j", "a/../de*ck.pptx", "pptx", b"12", None, "1"), ("j", "deck.pptx", "pptx", b"3", None, "2"),
+    first = sinks.register_artifacts(table([("j", "a/../de*ck.pptx", "pptx", b"12", None, "1"), ("j", "deck.pptx", "pptx", b"3", None, "2"),
                                     ("j", "r.json", "report", b"", None, "1")], schema), path)
-    sinks.register_artifacts(table([("j", "r.json", "report", b"new", None, "3"), ("k", "r.bin", "log", b"x", None, "3")], schema), path)
-    got = spark.read.parquet(path)
+    long = "x" * 180
+    again = sinks.register_artifacts(table([("j", "r.json", "report", b"new", None, "3"), ("k", "r.bin", "log", b"x", None, "3"), ("k", "*/", "log", b"", None, "3"),
+                                            ("l", long + "a", "log", b"", None, "3"), ("l", long + "b", "log", b"", None, "3")], schema), path)
+    assert rows(first, "given_name", "name", "reason") == [("deck.pptx", "deck.pptx", "name_repeated")]
+    assert rows(again, "given_name", "name", "reason") == [("*/", "", "empty_name"), ("r.json", "r.json", "name_taken")]
+    assert rows(spark.read.parquet(path).filter("job_id = 'l'"), "name") == [(long + "a",), (long + "b",)]
+    got = spark.read.parquet(path).filter("job_id <> 'l'")
     assert rows(got, "job_id", "name", "size_bytes", "media_type") == [
         ("j", "deck.pptx", 2, sinks.MEDIA_TYPES[".pptx"]), ("j", "r.json", 0, "application/json"),
         ("k", "r.bin", 1, "application/octet-stream")]
