@@ -1,4 +1,4 @@
-"""Small slide tables for the training-data operators."""
+"""Fixtures: small slide tables for the training-data operators."""
 
 import pytest
 

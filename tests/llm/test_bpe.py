@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
+from llm_fixtures import slides  # noqa: F401
 
 from deckloom.llm import bpe
 

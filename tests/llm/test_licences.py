@@ -1,5 +1,7 @@
 """License mentions of hand-made texts."""
 
+from llm_fixtures import slides  # noqa: F401
+
 from deckloom.llm.licences import TEMPLATES, license_scan
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from llm_fixtures import slides  # noqa: F401
 
 from deckloom.llm import mixing
 

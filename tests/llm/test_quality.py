@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from llm_fixtures import slides  # noqa: F401
 
 from deckloom.llm import quality
 

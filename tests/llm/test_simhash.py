@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from llm_fixtures import slides  # noqa: F401
 
 from deckloom.llm import simhash
 from deckloom.llm.components import least_nodes

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
+from llm_fixtures import slides  # noqa: F401
 
 from deckloom.llm import token_files
 from deckloom.session import shared_dir
