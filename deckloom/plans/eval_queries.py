@@ -146,21 +146,28 @@ def wn09(t):
     return gt.simplest_near_best(cands, "run_id", "case_id", 0.05).select("run_id", "case_id", "command_count")
 
 
+OK = "('first valid', 'global gain', 'structural gain', 'changed objects gain')"
+BEST = ", ".join(f"CASE WHEN reason IN {OK} THEN {n} ELSE {b} END" for n, b in zip(
+    ("sim", "st", "wo", "ra", "rb"), ("bs", "bt", "bw", "ba", "bb")))
+
+
 @query("wn07_accepted_trail", "fx_eval_case", f"""r AS (SELECT run_id, case_id, coalesce(passed, TRUE) AS ed, {FIG} AS sim, score_milli * 7 % 1001 / 1000.0::DOUBLE AS st, score_milli * 11 % 1001 / 1000.0::DOUBLE AS wo,
- row_number() OVER (PARTITION BY run_id ORDER BY case_id) AS rn FROM fx_eval_case),
-tr AS (SELECT run_id, case_id, rn, ed AS accepted, CASE WHEN ed THEN 'first valid' ELSE 'not editable' END AS reason, CASE WHEN ed THEN sim END AS bs, CASE WHEN ed THEN st END AS bt, CASE WHEN ed THEN wo END AS bw FROM r WHERE rn = 1
- UNION ALL SELECT run_id, case_id, rn, reason IN ('first valid', 'global gain', 'structural gain'), reason, CASE WHEN reason IN ('first valid', 'global gain', 'structural gain') THEN sim ELSE bs END, CASE WHEN reason IN ('first valid', 'global gain', 'structural gain') THEN st ELSE bt END, CASE WHEN reason IN ('first valid', 'global gain', 'structural gain') THEN wo ELSE bw END
- FROM (SELECT r.*, bs, bt, bw, CASE WHEN NOT ed THEN 'not editable' WHEN bs IS NULL THEN 'first valid' WHEN sim >= bs + 0.0005::DOUBLE THEN 'global gain'
-   WHEN sim >= bs - 0.005::DOUBLE AND (st >= bt + 0.01::DOUBLE OR wo >= bw + 0.02::DOUBLE) THEN 'structural gain' ELSE 'no gain' END AS reason FROM tr JOIN r ON r.run_id = tr.run_id AND r.rn = tr.rn + 1))""", """
-SELECT run_id, case_id, accepted, reason FROM tr""")
+ case_id % 50 / 50.0::DOUBLE AS ra, case_id % 40 / 40.0::DOUBLE AS rb, case_id % 3 AS ch, row_number() OVER (PARTITION BY run_id ORDER BY case_id) AS rn FROM fx_eval_case),
+tr AS (SELECT run_id, case_id, rn, CASE WHEN ed THEN 'first valid' ELSE 'not editable' END AS reason, CASE WHEN ed THEN sim END AS bs, CASE WHEN ed THEN st END AS bt, CASE WHEN ed THEN wo END AS bw,
+  CASE WHEN ed THEN ra END AS ba, CASE WHEN ed THEN rb END AS bb FROM r WHERE rn = 1
+ UNION ALL SELECT run_id, case_id, rn, reason, {BEST}
+ FROM (SELECT r.*, bs, bt, bw, ba, bb, CASE WHEN NOT ed THEN 'not editable' WHEN bs IS NULL THEN 'first valid' WHEN sim >= bs + 0.0005::DOUBLE THEN 'global gain'
+   WHEN sim >= bs - 0.005::DOUBLE AND (st >= bt + 0.01::DOUBLE OR wo >= bw + 0.02::DOUBLE) THEN 'structural gain'
+   WHEN sim >= bs - 0.005::DOUBLE AND (ch = 1 AND ra - ba >= 0.015::DOUBLE OR ch = 2 AND ((ra - ba + rb - bb) / 2 >= 0.015::DOUBLE AND least(ra - ba, rb - bb) >= -0.03::DOUBLE)) THEN 'changed objects gain' ELSE 'no gain' END AS reason FROM tr JOIN r ON r.run_id = tr.run_id AND r.rn = tr.rn + 1))""", f"""
+SELECT run_id, case_id, reason IN {OK} AS accepted, reason FROM tr""")
 def wn07(t):
-    none = F.array().cast("array<string>")
-    nums = F.array().cast("array<double>")
+    a, b = c("case_id") % 50 / 50, c("case_id") % 40 / 40
+    changed = F.when(c("case_id") % 3 == 1, F.array(F.lit("a"))).when(c("case_id") % 3 == 2, F.array(F.lit("a"), F.lit("b")))
     cands = t.fx_eval_case.select(
         "run_id", "case_id", F.coalesce("passed", F.lit(True)).alias("editable"), (score() / 1000).alias("similarity_score"),
         (score() * 7 % 1001 / 1000).alias("structural_score"), (score() * 11 % 1001 / 1000).alias("worst_object"),
-        none.alias("changed_ids"), none.alias("region_ids"), nums.alias("region_structure"),
-        nums.alias("region_similarity"))
+        F.coalesce(changed, F.array().cast("array<string>")).alias("changed_ids"), F.array(F.lit("a"), F.lit("b")).alias("region_ids"),
+        F.array(a, b).alias("region_structure"), F.array(F.lit(0.5), F.lit(0.5)).alias("region_similarity"))
     return gt.accepted_trail(cands, "run_id", "case_id")
 
 

@@ -49,11 +49,12 @@ def order(t):
 @query("src02_shapes", "fx_shape_key", "", r"""
 SELECT slide_id AS deck, shape_id, 's' || shape_id || ':' || shape_id AS stable_id, kind, name,
  CASE kind WHEN 'sp' THEN trim(regexp_replace(text, '\s+', ' ', 'g')) WHEN 'pic' THEN '' ELSE trim(regexp_replace(name || ' ' || fill_color, '\s+', ' ', 'g')) END AS text,
- CASE WHEN kind <> 'graphicFrame' THEN CAST(x_pt AS DOUBLE) END AS x_pt, CASE WHEN kind <> 'graphicFrame' THEN CAST(h_pt - 20 AS DOUBLE) END AS h_pt,
+ CASE WHEN kind <> 'graphicFrame' THEN CAST(x_pt AS DOUBLE) END AS x_pt, CASE WHEN kind <> 'graphicFrame' THEN CAST(y_pt AS DOUBLE) END AS y_pt,
+ CASE WHEN kind <> 'graphicFrame' THEN CAST(w_pt AS DOUBLE) END AS w_pt, CASE WHEN kind <> 'graphicFrame' THEN CAST(h_pt - 20 AS DOUBLE) END AS h_pt,
  CASE WHEN kind = 'sp' THEN '#' || upper(lpad(to_hex(x_pt * 100 + font_pt), 6, '0')) END AS fill_color, CASE WHEN kind = 'graphicFrame' THEN 'table' END AS frame_type FROM fx_shape_key""")
 def src02(t):
     return src.shapes(slide_parts(t), order(t)).select(
-        "deck", "shape_id", "stable_id", "kind", "name", "text", "x_pt", "h_pt", "fill_color", "frame_type")
+        "deck", "shape_id", "stable_id", "kind", "name", "text", "x_pt", "y_pt", "w_pt", "h_pt", "fill_color", "frame_type")
 
 
 @query("src03_relationships", "fx_relationship", "", """
@@ -70,9 +71,27 @@ def src03(t):
 
 
 @query("src04_table_cells", "fx_shape_key", "", """
-SELECT slide_id AS deck, shape_id AS slide_index, unnest([0, 1]) AS col_no, unnest([name, fill_color]) AS text FROM fx_shape_key WHERE kind = 'graphicFrame'""")
+SELECT slide_id AS deck, shape_id AS slide_index, 0 AS table_no, 0 AS row_no, unnest([0, 1]) AS col_no, unnest([name, fill_color]) AS text FROM fx_shape_key WHERE kind = 'graphicFrame'""")
 def src04(t):
-    return src.table_cells(slide_parts(t), order(t)).select("deck", "slide_index", "col_no", "text")
+    return src.table_cells(slide_parts(t), order(t))
+
+
+@query("src04_chart_series", "fx_shape_key", "", """
+SELECT slide_id AS deck, shape_id AS slide_index, 'ppt/charts/chart' || shape_id || '.xml' AS chart_part, 0 AS series_no, unnest(['text', 'number', 'number', 'formula']) AS part,
+ unnest([0, 0, 1, 0]) AS position, unnest([name, CAST(x_pt AS VARCHAR), CAST(y_pt AS VARCHAR), 'S!A' || font_pt]) AS value FROM fx_shape_key WHERE kind = 'pic'""")
+def src04b(t):
+    """Every picture of the view stands for a slide with one chart of one series."""
+    k = t.fx_shape_key.filter("kind = 'pic'").withColumn("deck", c("slide_id"))
+    slides = k.select("deck", F.format_string("ppt/slides/slide%d.xml", "shape_id").alias("part_name"), F.lit(
+        f'<p:sld {NS}><p:graphicFrame><c:chart xmlns:c="c" r:id="rId1"/></p:graphicFrame></p:sld>').alias("xml"))
+    rels = k.select("deck", F.format_string("ppt/slides/_rels/slide%d.xml.rels", "shape_id").alias("part_name"), F.format_string(
+        '<Relationships><Relationship Id="rId1" Type="t/chart" Target="../charts/chart%d.xml"/></Relationships>', "shape_id").alias("xml"))
+    charts = k.select("deck", F.format_string("ppt/charts/chart%d.xml", "shape_id").alias("part_name"), F.format_string(
+        '<c:chartSpace xmlns:c="c"><c:ser><c:tx><c:strRef><c:f>S!A%d</c:f><c:strCache><c:pt><c:v>%s</c:v></c:pt></c:strCache></c:strRef></c:tx><c:val>'
+        '<c:numRef><c:numCache><c:pt><c:v>%d</c:v></c:pt><c:pt><c:v>%d</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser></c:chartSpace>',
+        "font_pt", "name", "x_pt", "y_pt").alias("xml"))
+    parts = slides.unionByName(rels).unionByName(charts)
+    return src.chart_series(parts, src.relationships(parts), order(t))
 
 
 @query("prj02_markup_violations", "fx_shape_key", "", """

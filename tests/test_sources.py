@@ -113,6 +113,32 @@ def test_tables_and_charts(corpus):
         (2, "formula", 0, "S!A1"), (2, "number", 0, "3"), (2, "number", 1, "4"), (2, "text", 0, "Sales")]
 
 
+def test_damaged_packages_give_rows_of_their_own(spark, tmp_path):
+    deck(tmp_path / "good.pptx", shape(2, "A", "fine"), slide2="<p:sp>")  # one slide is not well formed
+    whole = (tmp_path / "good.pptx").read_bytes()
+    (tmp_path / "cut.pptx").write_bytes(whole[:200])
+    (tmp_path / "text.pptx").write_text("no package at all")
+    parts = packages.read_parts(spark, f"{tmp_path}/*.pptx").withColumn("deck", F.regexp_extract("deck", r"([^/]+)\.pptx$", 1)).cache()
+    found = rows(packages.broken_parts(parts), "deck", "part_name")
+    assert found == [("cut", None), ("good", "ppt/slides/slide2.xml"), ("text", None)]
+    rels = packages.relationships(parts)
+    assert rows(packages.shapes(parts, packages.slide_order(parts, rels)), "deck", "stable_id", "text") == [("good", "s2:2", "fine")]
+
+
+def test_prefixes_groups_and_entities(spark):
+    xml = """<x:sld xmlns:x="p" xmlns:y="a" xmlns:r="r"><x:cSld><x:spTree><x:grpSpPr/>
+      <x:grpSp><x:nvGrpSpPr><x:cNvPr id="5" name='Outer'/></x:nvGrpSpPr><x:grpSpPr><y:xfrm><y:off x="12700" y="0"/><y:ext cx="25400" cy="12700"/>
+        <y:chOff x="9" y="9"/></y:xfrm></x:grpSpPr>
+        <x:sp><x:nvSpPr><x:cNvPr id="6" name="A &amp;amp; B"/></x:nvSpPr><x:spPr/><y:t>one &amp;lt; two</y:t></x:sp>
+        <x:grpSp><x:nvGrpSpPr><x:cNvPr id="7"/></x:nvGrpSpPr><x:grpSpPr/><x:sp><x:nvSpPr><x:cNvPr id="8" name="C"/></x:nvSpPr><y:t>three</y:t></x:sp></x:grpSp>
+      </x:grpSp><x:sp><x:nvSpPr><x:cNvPr id="9" name="D"/></x:nvSpPr><y:t>out</y:t></x:sp></x:spTree></x:cSld></x:sld>""".replace("&amp;amp;", "&amp;").replace("&amp;lt;", "&lt;")
+    parts = spark.createDataFrame([("d", "s.xml", xml)], "deck string, part_name string, xml string")
+    order = spark.createDataFrame([("d", "s.xml", 1)], "deck string, part_name string, slide_index int")
+    assert rows(packages.shapes(parts, order), "shape_id", "kind", "name", "text", "x_pt", "w_pt") == [
+        (5, "grpSp", "Outer", "one < two three", 1.0, 2.0), (6, "sp", "A & B", "one < two", None, None), (7, "grpSp", "Shape 7", "three", None, None),
+        (8, "sp", "C", "three", None, None), (9, "sp", "D", "out", None, None)]
+
+
 def test_audit_and_blockers(corpus):
     parts, _, _ = corpus
     audit = package.package_audit(parts, deck="deck")
@@ -130,7 +156,8 @@ def test_invariants_between_packages(corpus):
     slides = order.filter("deck = 'one'").select(F.col("deck").alias("deck_id"), "slide_index")
     found = content.invariant_pairs(before, after, slides, slides)
     assert rows(found, "slide_index", "code") == [
-        (1, "animation_changed"), (1, "numbers_changed"), (1, "words_changed"), (2, "images_changed"), (2, "words_changed")]
+        (1, "animation_changed"), (1, "numbers_changed"), (1, "words_changed"), (2, "images_changed"),
+        (2, "logo_geometry_or_effect_changed"), (2, "logos_changed"), (2, "words_changed")]
 
 
 def test_markup_violations(spark):
