@@ -41,11 +41,19 @@ def ag04(t):
     return cat.majority_hash(hashes(t), ["label"])
 
 
-@query("jn02_near_duplicates", "fx_pixel", HASH_CTE + """,
-pr AS (SELECT a.image_id, b.image_id AS existing_id, bit_count(xor(a.bits::BIT, b.bits::BIT)) AS distance FROM hx a JOIN hx b ON b.image_id < a.image_id)""", """
-SELECT image_id, min(existing_id) AS existing_id, CAST(arg_min(distance, existing_id) AS INTEGER) AS distance FROM pr WHERE distance <= 12 GROUP BY 1""")
+@query("jn02_near_duplicates", "documents", """ph AS (SELECT doc_id AS template_id, CAST((doc_id // 3) % 5 AS BIGINT) AS slide_count, CASE WHEN doc_id % 11 <> 0 THEN
+ substr(sha256('deck ' || CAST(doc_id // 3 AS VARCHAR)), 1, 14) || ['00', '01', '1f'][doc_id % 3 + 1] END AS phash FROM documents),
+hb AS (SELECT *, ('0x' || phash)::UBIGINT AS bits FROM ph WHERE phash IS NOT NULL),
+pr AS (SELECT a.slide_count, a.template_id, b.template_id AS existing_id, bit_count(xor(a.bits, b.bits)) AS distance
+ FROM hb a JOIN hb b ON b.template_id < a.template_id AND a.slide_count = b.slide_count)""", """
+SELECT slide_count, template_id, min(existing_id) AS existing_id, CAST(arg_min(distance, existing_id) AS INTEGER) AS distance FROM pr WHERE distance <= 4 GROUP BY 1, 2""")
 def jn02(t):
-    return cat.near_duplicates(cat.dhash(t.fx_pixel, width=8, height=8), "image_id", radius=12, shared_bands=1, bits=56)
+    """Three documents in a row are one deck and two near copies: one and five bits from the first, four from each other."""
+    deck = F.floor(c("doc_id") / 3)
+    tail = F.element_at(F.array(F.lit("00"), F.lit("01"), F.lit("1f")), (c("doc_id") % 3 + 1).cast("int"))
+    hashed = t.documents.select(c("doc_id").alias("template_id"), (deck % 5).alias("slide_count"), F.when(
+        c("doc_id") % 11 != 0, F.concat(F.substring(F.sha2(F.concat(F.lit("deck "), deck.cast("string")), 256), 1, 14), tail)).alias("phash"))
+    return cat.near_duplicates(hashed, "template_id", block="slide_count")
 
 
 @query("jn04_active_template_slides", "fx_shape", "s AS (SELECT DISTINCT slide_id, deck_id AS template_id, deck_id % 20 AS family_id FROM fx_shape)", """

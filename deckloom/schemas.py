@@ -20,6 +20,15 @@ ELEMENT = (
 )
 SLIDE_KEYS = ["version", "source_width", "source_height", "background", "components", "elements",
               "reconstruction_notes"]
+ELEMENT_KEYS = (
+    "kind id name layer group_id bounds rotation_deg text font_family font_size_pt bold italic color opacity alignment "
+    "vertical_alignment line_spacing margin_px preset fill stroke corner_radius x1 y1 x2 y2 arrow_start arrow_end commands "
+    "source_region preserve_aspect alt_text content_type component_id").split()
+COMPONENT_KEYS = ["id", "name", "elements"]
+# Keys of the objects inside an element; the last two are arrays of objects.
+NESTED_KEYS = {"bounds": ["x", "y", "width", "height"], "source_region": ["x", "y", "width", "height"],
+               "stroke": ["color", "opacity", "width_px", "dash"], "fill": ["kind", "color", "opacity", "angle_deg", "stops"],
+               "fill.stops": ["position", "color", "opacity"], "commands": ["op", "x", "y", "x1", "y1", "x2", "y2"]}
 SLIDE = (
     f"version string, source_width int, source_height int, background {_FILL}, "
     f"components array<struct<id:string,name:string,elements:array<{ELEMENT}>>>, elements array<{ELEMENT}>, "

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -30,20 +29,25 @@ def local_session(cores: int = 8, app_name: str = "deckloom") -> SparkSession:
     return spark
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="deckloom-")
+# Folders made here for sessions of this machine alone; they go when the process ends.
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def _own_folder() -> str:
+    _OWN.append(tempfile.TemporaryDirectory(prefix="deckloom-", ignore_cleanup_errors=True))
+    return _OWN[-1].name
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Where the setting is absent, only a local master may go on with a temporary folder: there
-    every task runs on this machine.
+    Where the setting is absent, a session of this machine alone (a local master, as in tests) gets a folder that is
+    removed with the process; any other has to set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_root()
+        root = _own_folder()
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.schemas import MANIFEST, REPORT, SLIDE, SLIDE_KEYS
+from deckloom.schemas import COMPONENT_KEYS, ELEMENT_KEYS, MANIFEST, NESTED_KEYS, REPORT, SLIDE, SLIDE_KEYS
 
 c = F.col
 
 
+def _unknown(where: str, objects: Column, known: list[str]) -> Column:
+    """Keys of JSON objects (an array of texts) that are not known, with the place they stand at."""
+    keys = F.flatten(F.transform(objects, lambda o: F.coalesce(F.json_object_keys(o), F.array().cast("array<string>"))))
+    odd = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
+    return F.transform(odd, lambda k: F.concat(F.lit(where), k))
+
+
+def _members(objects: Column, key: str) -> Column:
+    """Objects under a key of JSON objects: each itself, or the members of an array."""
+    found = F.transform(objects, lambda o: F.get_json_object(o, f"$.{key}"))
+    lists = F.transform(found, lambda f: F.when(F.substring(f, 1, 1) == "[", F.from_json(f, "array<string>")).otherwise(F.array(f)))
+    return F.filter(F.flatten(F.filter(lists, lambda v: v.isNotNull())), lambda v: v.isNotNull())
+
+
+def unknown_keys(spec: Column) -> Column:
+    """Keys of a slide graph, given as JSON, that its schema does not have, at any depth."""
+    parts = [("", F.array(spec), SLIDE_KEYS)]
+    components = _members(F.array(spec), "components")
+    parts.append(("components.", components, COMPONENT_KEYS))
+    for where, elements in (("elements.", _members(F.array(spec), "elements")), ("components.elements.", _members(components, "elements"))):
+        parts.append((where, elements, ELEMENT_KEYS))
+        for key, known in NESTED_KEYS.items():
+            inner = elements
+            for step in key.split("."):
+                inner = _members(inner, step)
+            parts.append((f"{where}{key}.", inner, known))
+    return F.array_distinct(F.concat(*[_unknown(*p) for p in parts]))
+
+
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per slide graph file: its path, fields, ``_corrupt_record`` and ``unknown_keys``."""
-    slides = spark.read.schema(SLIDE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn(
-        "path", F.col("_metadata.file_path"))
+    """One row per slide graph file: its path, fields, ``_corrupt_record`` and ``unknown_keys`` (dotted places)."""
     raw = spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), "value")
-    known = F.array(*[F.lit(k) for k in SLIDE_KEYS])
-    extra = raw.select("path", F.array_except(F.json_object_keys("value"), known).alias("unknown_keys"))
-    return slides.join(extra, "path", "left")
+    parsed = F.from_json("value", SLIDE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.select("path", parsed.alias("_s"), F.when(F.json_object_keys("value").isNotNull(), unknown_keys(c("value"))).alias(
+        "unknown_keys")).select("path", "_s.*", "unknown_keys")
 
 
 def spec_elements(slides: DataFrame, key: str = "path") -> DataFrame:

@@ -193,9 +193,15 @@ def test_read_specs(spark, tmp_path):
         "reconstruction_notes": []}
     (tmp_path / "a.json").write_text(json.dumps(spec))
     (tmp_path / "b.json").write_text(json.dumps(spec | {"surprise": 1}))
-    slides = files.read_specs(spark, f"{tmp_path}/*.json")
-    assert sorted(r.unknown_keys for r in slides.collect()) == [[], ["surprise"]]
-    els = files.spec_elements(slides.filter(F.size("unknown_keys") == 0))
+    deep = spec | {"elements": [{"kind": "shape", "id": "e1", "bounds": box | {"depth": 1}, "fill": {"kind": "none", "stops": [{"position": 0, "at": 1}]},
+                                 "commands": [{"op": "M", "x": 1, "curve": 2}], "odd": None}]}
+    (tmp_path / "c.json").write_text(json.dumps(deep))
+    (tmp_path / "d.json").write_text('{"version": ')
+    slides = files.read_specs(spark, f"{tmp_path}/*.json").cache()
+    found = {r.path.rsplit("/", 1)[1]: (r.unknown_keys, r._corrupt_record is not None) for r in slides.collect()}
+    assert found["a.json"] == ([], False) and found["b.json"] == (["surprise"], False) and found["d.json"][1]
+    assert sorted(found["c.json"][0]) == ["elements.bounds.depth", "elements.commands.curve", "elements.fill.stops.at", "elements.odd"]
+    els = files.spec_elements(slides.filter("path like '%a.json'"))
     assert rows(els, "ordinal", "id", "x", "height") == [(0, "e1", 1.0, 4.0), (1, "e2", None, None)]
     from deckloom.operators.components import dangling_components
 
