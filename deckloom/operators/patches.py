@@ -15,6 +15,7 @@ c = F.col
 VERIFY_TOLERANCE_PT, LOGO_ASPECT = 0.15, 0.005
 MAX_TOUCHED = {"elements": 4, "components": 2}
 MAX_SECTION_OPS = 64
+APPLIED_ACTIONS = ["move", "resize", "recolor", "set_fill", "replace_text", "set_font_size", "delete", "duplicate"]
 PROTECTED_ACTIONS = ["delete", "replace_text", "duplicate", "recolor", "set_fill", "crop_picture"]
 CONTENT_ACTIONS = ["delete", "replace_text", "duplicate"]
 LOGO_ACTIONS = ["recolor", "set_fill", "set_border", "crop_picture", "style_table", "style_chart"]
@@ -117,7 +118,8 @@ def apply_shape_ops(shapes: DataFrame, ops: DataFrame, slide: str = "slide_id")
     slide), action, target_shape_id and the nullable x_pt, y_pt, dx_pt, dy_pt, width_pt,
     height_pt, color, new_text, font_size_pt, new_shape_id. A duplicate copies its source as it
     is at that point; a copy of a copy made by the same plan is a violation here. Returns the
-    new shapes and the violations (slide, op_seq, rule). Deleting twice is allowed.
+    new shapes and the violations (slide, op_seq, rule). Deleting twice is allowed. An action that is not
+    applied here is an ``unsupported_action``: no operation is passed over in silence.
     """
     key = [slide, "shape_id"]
     own = ops.withColumn("shape_id", c("target_shape_id"))
@@ -148,6 +150,7 @@ def apply_shape_ops(shapes: DataFrame, ops: DataFrame, slide: str = "slide_id")
     rules = [
         ("missing_target", (c("action") != "delete") & (absent | F.coalesce(c("_deleted") < c("op_seq"), F.lit(False)))),
         ("invalid_color", c("action").isin("recolor", "set_fill") & ~F.coalesce(c("color").rlike(RGB_COLOR), F.lit(False))),
+        ("unsupported_action", ~F.coalesce(c("action").isin(APPLIED_ACTIONS), F.lit(False))),
         ("copy_of_copy", (c("action") == "duplicate") & c("_known").isNull() & c("_born").isNotNull()),
     ]
     violations = rule_rows(facts, [slide, "op_seq"], rules).unionByName(

@@ -123,7 +123,7 @@ def overlapping_shapes(a: DataFrame, b: DataFrame | None, keys: list[str], id_co
     A pair counts when the intersection covers ``threshold`` of the smaller box, or, with
     ``min_area``, when its area is above it. Copies of one box are joined once and carried as
     a count, and the join key holds a grid cell, so neither copies nor a crowded slide meet
-    in one task as all pairs. A pair that shares several cells is kept in the one cell with the
+    in one task as all pairs; ``box_members`` names all shapes of a box. A pair that shares several cells is kept in the one cell with the
     upper left corner of its intersection.
     """
     left = _boxes(a, keys, list(box), id_col, "a")
@@ -147,20 +147,25 @@ def overlapping_shapes(a: DataFrame, b: DataFrame | None, keys: list[str], id_co
 def suppress_covered(boxes: DataFrame, keys: list[str], id_col: str = "shape_id",
                      box: tuple[str, ...] = ("x_pt", "y_pt", "w_pt", "h_pt"), threshold: float = 0.75,
                      cell: int = 256) -> DataFrame:
-    """Boxes not covered to ``threshold`` of the smaller area by a larger one, one row per box.
+    """Shapes whose box no larger one covers to ``threshold`` of the smaller area.
 
-    Of two boxes with the same area the earlier in (x, y, w, h) order stays.
+    Of two boxes with the same area the earlier in (x, y, w, h) order stays. Shapes of equal boxes all
+    stay or all go; ``box_id`` is their least id.
     """
     pairs = overlapping_shapes(boxes, None, keys, id_col, box, threshold, cell=cell)
     a_area, b_area = c("a_w") * c("a_h"), c("b_w") * c("b_h")
     same = F.struct(*[f"a_{m}" for m in "xywh"]) == F.struct(*[f"b_{m}" for m in "xywh"])
     loses_a = a_area < b_area
     covered = pairs.filter(~same).select(
-        *keys, *[F.when(loses_a, c(f"a_{m}")).otherwise(c(f"b_{m}")).alias(f"a_{m}") for m in "xywh"])
-    kept = _boxes(boxes, keys, list(box), id_col, "a").join(
-        covered, [*keys, *[f"a_{m}" for m in "xywh"]], "left_anti")
-    return kept.select(*keys, c("a_id").alias(id_col),
-                       *[c(f"a_{m}").alias(n) for m, n in zip("xywh", box)])
+        *keys, *[F.when(loses_a, c(f"a_{m}")).otherwise(c(f"b_{m}")).alias(n) for m, n in zip("xywh", box)])
+    return box_members(boxes, keys, id_col, box).join(covered, [*keys, *box], "left_anti")
+
+
+def box_members(shapes: DataFrame, keys: list[str], id_col: str = "shape_id",
+                box: tuple[str, ...] = ("x_pt", "y_pt", "w_pt", "h_pt")) -> DataFrame:
+    """Every shape with ``box_id``, the id that stands for its box in pairs: the least of equal boxes."""
+    least = shapes.groupBy(*keys, *box).agg(F.min(id_col).alias("box_id"))
+    return shapes.select(*keys, id_col, *box).join(least, [*keys, *box])
 
 
 # ---- conversion risk of whole slides -------------------------------------------------------

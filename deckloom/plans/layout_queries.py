@@ -324,11 +324,18 @@ def jn12(t):
 @query("wn13_suppress_covered", "fx_shape", BOX_CTE + """,
 cov AS (SELECT *, a_w * a_h < b_w * b_h AS la FROM pr WHERE CAST(overlap_area AS DOUBLE) / least(a_w * a_h, b_w * b_h) >= 0.75 AND (a_x, a_y, a_w, a_h) <> (b_x, b_y, b_w, b_h)),
 lost AS (SELECT slide_id, CASE WHEN la THEN a_x ELSE b_x END AS x, CASE WHEN la THEN a_y ELSE b_y END AS y, CASE WHEN la THEN a_w ELSE b_w END AS w, CASE WHEN la THEN a_h ELSE b_h END AS h FROM cov)""", """
-SELECT slide_id, id AS shape_id, x AS x_pt, y AS y_pt, w AS w_pt, h AS h_pt FROM bx ANTI JOIN lost USING (slide_id, x, y, w, h)""")
+SELECT slide_id, shape_id, x_pt, y_pt, w_pt, h_pt, id AS box_id FROM fx_shape
+JOIN (SELECT * FROM bx ANTI JOIN lost USING (slide_id, x, y, w, h)) k USING (slide_id) WHERE x = x_pt AND y = y_pt AND w = w_pt AND h = h_pt""")
 def wn13(t):
     return sh.suppress_covered(t.fx_shape, ["slide_id"])
 
 
+@query("jn12_box_members", "fx_shape", "", """
+SELECT slide_id, shape_id, x_pt, y_pt, w_pt, h_pt, min(shape_id) OVER (PARTITION BY slide_id, x_pt, y_pt, w_pt, h_pt) AS box_id FROM fx_shape""")
+def jn12b(t):
+    return sh.box_members(t.fx_shape, ["slide_id"])
+
+
 def risk_counts(t):
     """Per-slide counts behind the conversion scores."""
     s = t.fx_shape

@@ -44,7 +44,8 @@ def se05(t):
 kn AS (SELECT slide_id, shape_id FROM fx_shape_key),
 de AS (SELECT slide_id, target_shape_id, min(op_seq) AS gone_at FROM ops WHERE action = 'delete' GROUP BY 1, 2)""", """
 SELECT ops.slide_id, op_seq, 'missing_target' AS rule FROM ops LEFT JOIN kn ON kn.slide_id = ops.slide_id AND kn.shape_id = ops.target_shape_id LEFT JOIN de ON de.slide_id = ops.slide_id AND de.target_shape_id = ops.target_shape_id
-WHERE action <> 'delete' AND (kn.shape_id IS NULL OR coalesce(gone_at < op_seq, FALSE))""")
+WHERE action <> 'delete' AND (kn.shape_id IS NULL OR coalesce(gone_at < op_seq, FALSE))
+UNION ALL SELECT slide_id, op_seq, 'unsupported_action' FROM ops WHERE action = 'align'""")
 def se05b(t):
     return pt.apply_shape_ops(t.fx_shape_key, ops(t))[1]
 

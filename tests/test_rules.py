@@ -198,12 +198,14 @@ def test_apply_shape_ops_folds_in_order(table):
         op(4, "resize", 1, width_pt=33.0), op(5, "recolor", 1, color="#AA0000"), op(6, "replace_text", 2, new_text="new"),
         op(7, "duplicate", 1, new_shape_id=9, dx_pt=10.0), op(8, "move", 9, dy_pt=50.0), op(9, "recolor", 1, color="#00BB00"),
         op(10, "delete", 3), op(11, "delete", 3), op(12, "move", 3, dx_pt=1.0), op(13, "move", 77, dx_pt=1.0),
-        op(14, "duplicate", 2, new_shape_id=1), op(15, "set_font_size", 2, font_size_pt=18.0)], OPS)
+        op(14, "duplicate", 2, new_shape_id=1), op(15, "set_font_size", 2, font_size_pt=18.0),
+        op(16, "align", 1), op(17, "nonsense", 2)], OPS)
     out, bad = patches.apply_shape_ops(table([shape(1), shape(2, text="old"), shape(3)], SHAPES), plan)
     assert rows(out, "shape_id", "x_pt", "y_pt", "w_pt", "fill_color", "text", "font_pt") == [
         (1, 98.0, 2.0, 33.0, "#00BB00", "", 12.0), (2, 0.0, 0.0, 10.0, "#000000", "new", 18.0),
         (9, 108.0, 52.0, 33.0, "#AA0000", "", 12.0)]
-    assert rows(bad, "op_seq", "rule") == [(12, "missing_target"), (13, "missing_target"), (14, "id_exists")]
+    assert rows(bad, "op_seq", "rule") == [(12, "missing_target"), (13, "missing_target"), (14, "id_exists"),
+                                             (16, "unsupported_action"), (17, "unsupported_action")]
 
 
 def test_patch_plan_rules(table):
