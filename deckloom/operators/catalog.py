@@ -87,6 +87,12 @@ def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", bloc
     Only distinct hashes are joined: copies of one hash are one row with its first id, and the
     join result is reduced to one minimum per hash before the items come back in.
     """
+    return first_near(items, id_col, hash_col, block, radius, shared_bands, bits, catalog).drop("in_catalog")
+
+
+def first_near(items: DataFrame, id_col: str, hash_col: str, block: str | None, radius: int, shared_bands: int = 2,
+               bits: int = 64, catalog: DataFrame | None = None) -> DataFrame:
+    """``near_duplicates`` with ``in_catalog``: whether the existing id is one of the catalogue."""
     blocks = [block] if block else []
     cols = [*blocks, id_col, hash_col]
     known = items.filter(c(hash_col).isNotNull() & (c(hash_col) != "")).select(*cols, F.lit(1).alias("_age"))
@@ -111,7 +117,8 @@ def near_duplicates(items: DataFrame, id_col: str, hash_col: str = "phash", bloc
     placed = known.withColumns({"hi": _half(c(hash_col), True), "lo": _half(c(hash_col), False)})
     return (placed.join(earliest, [*blocks, "hi", "lo"])
             .filter(c("hit.low") < F.struct("_age", c(id_col).alias("id")))
-            .select(*blocks, id_col, c("hit.low.id").alias("existing_id"), c("hit.gap").alias("distance")))
+            .select(*blocks, id_col, c("hit.low.id").alias("existing_id"), c("hit.gap").alias("distance"),
+                    (c("hit.low._age") == 0).alias("in_catalog")))
 
 
 def active_template_slides(slides: DataFrame, templates: DataFrame, families: DataFrame) -> DataFrame:

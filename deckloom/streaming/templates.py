@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from deckloom.operators.catalog import family_match, near_duplicates
+from deckloom.operators.catalog import NEAR_BITS, family_match, first_near
 from deckloom.operators.skew import first_by
 from deckloom.operators.tiles import materialize
 from deckloom.sources.sinks import existing
@@ -15,6 +17,26 @@ from deckloom.streaming.events import run_to_end
 c = F.col
 
 
+def _first_come(fresh: DataFrame, catalog: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Decks that are near to no accepted one, in the order of their ids, and the near pairs of the others.
+
+    A deck waits while an earlier one near to it is undecided; the rest are accepted, and turn
+    away what is near to them. Every round decides at least the first deck that waits.
+    """
+    pending, known = fresh, catalog
+    kept, turned = [], []
+    while True:
+        hits = materialize(first_near(pending, "template_id", "phash", "slide_count", NEAR_BITS, catalog=known), "import")
+        turned.append(hits.filter("in_catalog").select("template_id", "existing_id"))
+        known = materialize(pending.join(hits.select("template_id"), "template_id", "left_anti"), "import")
+        kept.append(known)
+        waiting = hits.filter("NOT in_catalog").select("template_id")
+        if waiting.isEmpty():
+            break
+        pending = materialize(pending.join(waiting, "template_id", "left_semi"), "import")
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, turned)
+
+
 def import_templates(new: DataFrame, slides: DataFrame, catalog: DataFrame | None,
                      catalog_slides: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Accepted templates with their family, and what the others duplicate.
@@ -22,7 +44,7 @@ def import_templates(new: DataFrame, slides: DataFrame, catalog: DataFrame | Non
     ``new``: template_id (bigint), sha256, phash, slide_count; ``slides``: template_id, archetype.
     Content that exists already goes first, then near images with the same slide count, then
     the families: the best known one, or a new one shared by equal signatures. Within a batch the
-    lower id counts as the earlier deck.
+    lower id counts as the earlier deck; only accepted decks turn others away.
     """
     first = first_by(new, ["sha256"], ["template_id"])
     copies = new.join(first.select("sha256", c("template_id").alias("existing_id")), "sha256").filter(
@@ -34,9 +56,8 @@ def import_templates(new: DataFrame, slides: DataFrame, catalog: DataFrame | Non
         copies = copies.unionByName(known)
         fresh = first.join(catalog.select("sha256"), "sha256", "left_anti")
     fresh = materialize(fresh, "import")
-    near = near_duplicates(fresh, "template_id", block="slide_count", catalog=catalog)
-    accepted = materialize(fresh.join(near.select("template_id"), "template_id", "left_anti"), "import")
-    duplicates = copies.unionByName(near.select("template_id", "existing_id", F.lit("near").alias("kind")))
+    accepted, near = _first_come(fresh, catalog)
+    duplicates = copies.unionByName(near.withColumn("kind", F.lit("near")))
     own = slides.join(accepted.select("template_id"), "template_id", "left_semi")
     if catalog_slides is None:
         matched = own.groupBy("template_id").agg(F.lit(None).cast("string").alias("family_id"))

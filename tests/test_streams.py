@@ -82,6 +82,11 @@ def test_template_import(spark, tmp_path, table):
     assert family[1] == family[4] == family[9] and family[5] != family[1]
     # One title and one chart against two of each is only half.
     assert family[7] != family[1]
+    # A chain of hashes four bits apart: the second is near to the first, the third only to the second.
+    chain = table([(1, "a", "0000000000000000", 2, ["title"]), (2, "b", "000000000000000f", 2, ["title"]), (3, "c", "00000000000000ff", 2, ["title"]),
+                   (4, "d", "0000000000000fff", 2, ["title"]), (5, "e", "000000000000ffff", 2, ["title"])], schema)
+    kept, near = import_templates(chain.drop("archetypes"), chain.select("template_id", F.explode("archetypes").alias("archetype")), None, None)
+    assert rows(kept, "template_id") == [(1,), (3,), (5,)] and rows(near, "template_id", "existing_id") == [(2, 1), (4, 3)]
     # The same decks in one batch: nobody can match a family that is only being made.
     both = table(first + second, schema)
     accepted, _ = import_templates(both.drop("archetypes"), both.select("template_id", F.explode("archetypes").alias("archetype")), None, None)
