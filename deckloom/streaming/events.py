@@ -111,35 +111,46 @@ def read_job_state(spark: SparkSession, path: str) -> DataFrame:
 def spend_monitor(stream: DataFrame, max_usd: float, path: str, checkpoint: str) -> StreamingQuery:
     """Emit each job once, at the row where its running cost passes the budget.
 
-    A batch adds its cost per job to ``path``/totals and its breaches to ``path``/breaches. The
-    running cost inside a batch is split by sequence ranges, and earlier batches enter as one sum
-    per job, so a job with a third of all events is no single task's work. Batches must arrive
-    in sequence order per job, as the log is written.
+    ``path``/state holds one row for each job as of each batch (last sequence, cost, breached), and a batch
+    reads the newest one only. The running cost inside a batch is split by sequence ranges, so a job with a third of all events
+    is no single task's work. A repeated sequence number counts once. Rows that come after a later
+    sequence of their job was already counted break the order: they change nothing and are kept in
+    ``path``/late for ``read_late``.
     """
     limit = round(max_usd * 1_000_000)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("job_id", "sequence", micro_usd().alias("_m"))
-        totals = existing(spark, f"{path}/totals")
-        breached = existing(spark, f"{path}/breaches")
-        spent = running_sum(rows, ["job_id"], ["sequence"], "_m", "_in_batch")
-        if totals is not None:
-            before = totals.filter(c("batch") < number).groupBy("job_id").agg(F.sum("micro").alias("_before"))
-            spent = spent.join(before, "job_id", "left")
+        rows = batch.groupBy("job_id", "sequence").agg(F.min(micro_usd()).alias("_m"))
+        written = existing(spark, f"{path}/state")
+        newest = None if written is None else written.filter(c("batch") < number).agg(F.max("batch")).first()[0]
+        if newest is None:
+            nothing = F.lit(None).cast("bigint")
+            state = rows.select("job_id", nothing.alias("last_sequence"), nothing.alias("micro"), F.lit(False).alias("breached")).limit(0)
         else:
-            spent = spent.withColumn("_before", F.lit(0))
-        spent = spent.withColumn("spent", c("_in_batch") + F.coalesce(c("_before"), F.lit(0)))
-        over = spent.filter(c("spent") > limit).groupBy("job_id").agg(
+            state = written.filter(c("batch") == newest).drop("batch")
+        joined = rows.join(state, "job_id", "left")
+        late = F.coalesce(c("sequence") <= c("last_sequence"), F.lit(False))
+        fresh = joined.filter(~late)
+        spent = running_sum(fresh, ["job_id"], ["sequence"], "_m", "_in_batch").withColumn(
+            "spent", c("_in_batch") + F.coalesce(c("micro"), F.lit(0)))
+        over = spent.filter((c("spent") > limit) & ~F.coalesce(c("breached"), F.lit(False))).groupBy("job_id").agg(
             F.min("sequence").alias("breach_at"), F.min("spent").alias("micro"))
-        if breached is not None:
-            over = over.join(breached.filter(c("batch") < number).select("job_id"), "job_id", "left_anti")
+        added = fresh.groupBy("job_id").agg(F.max("sequence").alias("last_sequence"), F.sum("_m").alias("micro"))
+        both = state.unionByName(added.withColumn("breached", F.lit(False))).groupBy("job_id").agg(
+            F.max("last_sequence").alias("last_sequence"), F.sum("micro").alias("micro"), F.bool_or("breached").alias("breached"))
+        _write_batch(joined.filter(late).select("job_id", "sequence"), f"{path}/late", number)
         _write_batch(over, f"{path}/breaches", number)
-        _write_batch(rows.groupBy("job_id").agg(F.sum("_m").alias("micro")), f"{path}/totals", number)
+        _write_batch(both.withColumn("breached", c("breached") | (c("micro") > limit)), f"{path}/state", number)
 
     return run_to_end(stream, each, checkpoint)
 
 
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that came too late to count: (job_id, sequence)."""
+    return spark.read.parquet(f"{path}/late").select("job_id", "sequence")
+
+
 def read_breaches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/breaches").select(
         "job_id", "breach_at", (c("micro") / 1_000_000).alias("spent_usd"))

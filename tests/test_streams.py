@@ -60,6 +60,17 @@ def test_spend(spark, log):
     want = budget_breach(batch, 0.5).filter("breach_at is not null")
     assert rows(ev.read_breaches(spark, f"{out}/spend"), "job_id", "breach_at", "spent_usd") == rows(
         want, "job_id", "breach_at", "spent_usd")
+    assert ev.read_late(spark, f"{out}/spend").count() == 0
+    # Rows once more, in a later batch: all of them are late, nothing is counted twice.
+    again = spark.read.parquet(path).limit(40).cache()
+    seen = again.select("job_id", "sequence").distinct().count()
+    again.coalesce(1).write.mode("append").parquet(path)
+    ev.spend_monitor(ev.event_stream(spark, path, 1), 0.5, f"{out}/spend", f"{out}/ck")
+    assert ev.read_late(spark, f"{out}/spend").count() == seen
+    assert rows(ev.read_breaches(spark, f"{out}/spend"), "job_id", "breach_at") == rows(want, "job_id", "breach_at")
+    state = spark.read.parquet(f"{out}/spend/state")
+    newest = state.filter(F.col("batch") == state.agg(F.max("batch")).first()[0])
+    assert newest.count() == newest.select("job_id").distinct().count() == batch.select("job_id").distinct().count()
 
 
 def test_template_import(spark, tmp_path, table):
