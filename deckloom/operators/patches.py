@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.functions import text as tx
 from deckloom.operators.layout import rule_rows
-from deckloom.operators.skew import position
+from deckloom.operators.skew import position, running_sum
 
 c = F.col
 
@@ -287,17 +287,19 @@ def align_shapes(members: DataFrame, op_keys: list[str]) -> DataFrame:
 
 def distribute_shapes(members: DataFrame, op_keys: list[str], horizontal: bool = True,
                       id_col: str = "shape_id") -> DataFrame:
-    """Equal gaps between the first and the last member of each operation."""
+    """Equal gaps between the first and the last member of each operation.
+
+    Places and widths are summed up by ranges of the position, so an operation on very many members is split.
+    """
     pos, size = ("x", "w") if horizontal else ("y", "h")
-    order = Window.partitionBy(*op_keys).orderBy(pos, id_col)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count("*").over(whole)
-    lead = F.first(pos).over(whole)
-    trail = F.last(c(pos) + c(size)).over(whole)
-    gap = (trail - lead - F.sum(size).over(whole)) / F.greatest(F.lit(1), n - 1)
-    done = F.coalesce(F.sum(size).over(so_far), F.lit(0))
-    return members.withColumn(pos, F.bround(lead + done + (F.row_number().over(order) - 1) * gap).cast("bigint"))
+    ends = members.groupBy(*op_keys).agg(
+        F.min(pos).alias("_lead"), F.max(F.struct(c(pos), c(id_col), (c(pos) + c(size)).alias("end")))["end"].alias("_trail"),
+        F.sum(size).alias("_occupied"), F.count("*").alias("_n"))
+    cut = F.floor(c(pos) / (1 << 20))
+    placed = position(running_sum(members, op_keys, [pos, id_col], size, "_upto", cut), op_keys, [pos, id_col], "_place", cut)
+    gap = (c("_trail") - c("_lead") - c("_occupied")) / F.greatest(F.lit(1), c("_n") - 1)
+    moved = F.bround(c("_lead") + c("_upto") - c(size) + (c("_place") - 1) * gap).cast("bigint")
+    return placed.join(ends, op_keys).withColumn(pos, moved).drop("_upto", "_place", "_lead", "_trail", "_occupied", "_n")
 
 
 def z_reorder(shapes: DataFrame, ops: DataFrame, slide: str = "slide_id") -> DataFrame:
