@@ -28,8 +28,10 @@ DEVIATIONS = 10.0
 LEAST_SPREAD = 0.05
 #: Alphabet size of the uniform share below single characters.
 ALPHABET = 1 << 16
-#: Characters handled at once.
-SLICE = 1 << 20
+#: Languages that are learned at most, those with the most characters.
+MOST_LANGUAGES = 1000
+#: Characters whose n-grams are handled at once, and characters of the texts that are scored together.
+SLICE, TOGETHER = 1 << 19, 1 << 22
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _MASKS = [np.uint64((1 << 16 * n) - 1) for n in range(5)]
@@ -122,10 +124,12 @@ def _sample(slides: DataFrame, sample_chars: int) -> DataFrame:
         F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_part", training_part(F.col("slide_id"))).where(
         "_part <> 0")
     sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("_chars"))
-    rates = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest(
+    # Few rows, so that texts are drawn where they are read: no exchange by language, which would be uneven.
+    largest = sizes.orderBy(F.desc("_chars"), "lang").limit(MOST_LANGUAGES)
+    rates = largest.select("lang", F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest(
         F.col("_chars"), F.lit(1))).alias("_rate"))
     drawn = F.pmod(F.xxhash64("slide_id", "lang"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return known.join(rates, "lang").where(drawn < F.col("_rate")).select("lang", "text", "_part")
+    return known.join(F.broadcast(rates), "lang").where(drawn < F.col("_rate")).select("lang", "text", "_part")
 
 
 def _count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +168,9 @@ class LanguageModels:
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             models = [load(m) for m in shared.value]
             for texts in batches:
-                yield predict_batch(models, langs, bounds, texts)
+                part = (texts.str.len().fillna(0).cumsum() // TOGETHER).to_numpy()
+                own = [texts[part == n] for n in range(int(part.max(initial=0)) + 1)]
+                yield pd.concat([predict_batch(models, langs, bounds, t) for t in own])
 
         return predict(F.col("text"))
 
