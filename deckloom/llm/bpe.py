@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from deckloom.llm.common import packed, unpacked
 
 #: Characters of text handled at once, words of one recursive query, tokens of one decoding query.
-SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 22, 60_000, 1 << 18
+SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 21, 40_000, 1 << 18
 #: Distinct chunks that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: White space as Unicode defines it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

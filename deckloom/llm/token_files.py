@@ -29,7 +29,7 @@ _HEADER = struct.Struct("<4sIQQ")
 #: A block ends with the slide that brings it to so many ids, or with so many slides.
 BLOCK_IDS, BLOCK_SLIDES = 1 << 16, 1024
 #: Characters tokenized at once, and words that a worker remembers before it starts anew.
-SLICE_CHARS, REMEMBERED = 1 << 22, 400_000
+SLICE_CHARS, REMEMBERED = 1 << 21, 400_000
 BLOCKS = "part int, block int, n_slides long, n_ids long, payload binary"
 
 
