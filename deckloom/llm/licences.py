@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deckloom.llm.common import stored
+
 #: Words of a window, and by how much diagonals of one span may be apart.
 WINDOW, SLACK = 3, 4
 #: Least part of the template's words that a span covers, and of the span's words that the template covers.
@@ -97,7 +99,8 @@ def _spans(hits: DataFrame, by: str) -> DataFrame:
 
 def license_spans(slides: DataFrame) -> DataFrame:
     """``slide_key, template, coverage`` of verified spans in ``slides`` (``slide_key, text``)."""
-    hits = window_hits(slides).withColumn("diagonal", F.col("pos") - F.col("at"))
+    # Read three times below: the texts are gone through once.
+    hits = stored(window_hits(slides), "license-hits").withColumn("diagonal", F.col("pos") - F.col("at"))
     votes = hits.groupBy("slide_key", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
     order = Window.partitionBy("slide_key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True)).cast("int")
