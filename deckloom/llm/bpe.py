@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import packed, unpacked
+from deckloom.llm.common import give_back, packed, unpacked
 
 #: Characters of text handled at once, words of one recursive query, tokens of one decoding query.
-SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 21, 40_000, 1 << 18
+SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 20, 30_000, 1 << 17
 #: Distinct chunks that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: White space as Unicode defines it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -234,5 +234,6 @@ def encode_slides(slides: DataFrame, rank_file: str, pattern: str, keep_ids: boo
                          for e, d in zip(encoded, decoded, strict=True)]
             frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             yield frame if keep_ids else frame.drop(columns="ids")
+            give_back()
 
     return unpacked(packed(slides, "text").withColumn("tokens", tokens(F.col("text"))), slides.columns, "tokens")

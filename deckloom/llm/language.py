@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import packed, unpacked
+from deckloom.llm.common import give_back, packed, unpacked
 
 #: Expected characters of each language that models are fitted on, and bounds calibrated on: slides
 #: are drawn by a hash of their id at the rate that gives so many. The model is thus bounded as well.
@@ -171,6 +171,7 @@ class LanguageModels:
                 part = (texts.str.len().fillna(0).cumsum() // TOGETHER).to_numpy()
                 own = [texts[part == n] for n in range(int(part.max(initial=0)) + 1)]
                 yield pd.concat([predict_batch(models, langs, bounds, t) for t in own])
+                give_back()
 
         return predict(F.col("text"))
 

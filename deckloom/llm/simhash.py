@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.common import packed, stored, unpacked
+from deckloom.llm.common import give_back, packed, stored, unpacked
 from deckloom.llm.components import least_nodes
 
 #: Words of a shingle, and bits by which linked fingerprints may differ.
@@ -90,6 +90,7 @@ def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
                     held, size = [], 0
             found.append(majority_bits(held))
             yield pd.Series(np.concatenate(found).view(np.int64))
+            give_back()
 
     return simhash(text)
 
