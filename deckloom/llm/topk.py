@@ -21,6 +21,8 @@ from deckloom.llm.common import stored
 
 #: Vectors of a block, queries of a group, block summaries of a pack.
 BLOCK, GROUP, PACK = 256, 256, 256
+#: Blocks that a task should be worth, and tasks for each core at least.
+TASK_BLOCKS, TASKS_PER_CORE = 16, 2
 #: Blocks that each query scores first, of each pack.
 FIRST = 2
 SCALE = 256
@@ -149,9 +151,11 @@ def top_matches(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                                 F.col("s.high").alias("high"), F.col("s.low").alias("low")), "block-packs")
     cells = max(packs.count(), 1)
     numbered = packs.withColumn("cell", F.pmod(F.xxhash64("p", "n"), F.lit(cells)).cast("int")).drop("p", "n")
+    # Tasks in proportion to the blocks: few vectors do not pay for the start of many tasks.
+    tasks = max(TASKS_PER_CORE * blocks.sparkSession.sparkContext.defaultParallelism, blocks.count() // TASK_BLOCKS)
     spread = groups.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     meets = spread.select("query_group", "cell", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"),
-                          F.col("vectors").alias("query_vectors")).join(numbered, "cell")
+                          F.col("vectors").alias("query_vectors")).join(numbered, "cell").coalesce(tasks)
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -176,9 +180,9 @@ def top_matches(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                            F.col("vectors").alias("query_vectors"))
     firsts = meets.mapInPandas(first, "query_group long, query_no int, block long, bound long")
     by_query = Window.partitionBy("query_group", "query_no").orderBy(F.desc("bound"), "block")
-    firsts = firsts.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= FIRST)
+    firsts = firsts.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= FIRST).coalesce(tasks)
     pairs = firsts.groupBy("query_group", "block").agg(F.sort_array(F.collect_list("query_no")).alias("asked"))
-    seeded = pairs.join(asking, "query_group").join(blocks.select("block", "ids", "width", "vectors"), "block")
+    seeded = pairs.join(asking, "query_group").join(blocks.select("block", "ids", "width", "vectors"), "block").coalesce(tasks)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "slide_id")
     bound = seeded.mapInPandas(seeds, MATCHES).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") == k).select(
         "query_id", F.col("score").alias("least"))
@@ -186,7 +190,7 @@ def top_matches(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     lowest = int(np.iinfo(np.int64).min) + 1
     places = groups.select("query_group", F.posexplode("ids").alias("at", "query_id")).join(bound, "query_id", "left").groupBy(
         "query_group").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("least", F.lit(lowest)).alias("least")))).alias("b"))
-    places = stored(places.select("query_group", F.col("b.least").alias("least")), "least-scores")
+    places = stored(places.select("query_group", F.col("b.least").alias("least")).coalesce(tasks), "least-scores")
 
     def survivors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -220,11 +224,11 @@ def top_matches(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
                     best[i] = np.sort(np.concatenate([best[i], own]))[-k:]
                 yield pd.DataFrame(dict(zip(("query_id", "slide_id", "score"), found, strict=True)))
 
-    left = meets.join(places, "query_group").mapInPandas(survivors, "query_group long, block long, bound long")
+    left = meets.join(places, "query_group").coalesce(tasks).mapInPandas(survivors, "query_group long, block long, bound long")
     scored = left.join(asking.join(places, "query_group"), "query_group").join(
         blocks.select("block", "ids", "width", "vectors", "high", "low"), "block")
     # One group's blocks are dealt to several tasks, each by falling bound.
     dealt = scored.repartition(F.col("query_group"), F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions(
-        "query_group", F.desc("bound"), "block")
+        "query_group", F.desc("bound"), "block").coalesce(tasks)
     matches = dealt.mapInPandas(rest, MATCHES).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return matches.select("query_id", "rank", "slide_id", "score")
+    return matches.select("query_id", "rank", "slide_id", "score").coalesce(tasks)
