@@ -315,15 +315,19 @@ def near_duplicates(slides: DataFrame, radius: int = RADIUS, words: int = SHINGL
     return rows.join(ids, "root").select("slide_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(slides: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Of each component of ``near_duplicates``, one slide row with all its columns: that of the least id.
-
-    Among rows of one id the one of the least text hash stays, among equal ones one of them.
-    """
-    rows = _rooted(_fingerprinted(slides, words), radius)
+def one_of_each(slides: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the slides of each ``root`` in ``rows`` (``slide_id, _text, root``), the row of the least id and text hash."""
     key = F.struct(F.col("slide_id").isNull().alias("_null"), F.coalesce("slide_id", F.lit(0)).alias("_id"), "_text")
     kept = rows.groupBy("root").agg(F.min(key).alias("_k")).select("_k.*")
     marked = packed(slides, "slide_id", "text").withColumn("_text", F.xxhash64("text")).select(
         "_row", F.col("slide_id").isNull().alias("_null"), F.coalesce("slide_id", F.lit(0)).alias("_id"), "_text")
     one = marked.join(kept, ["_null", "_id", "_text"], "left_semi").dropDuplicates(["_null", "_id", "_text"])
     return unpacked(one, slides.columns)
+
+
+def keep_one(slides: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Of each component of ``near_duplicates``, one slide row with all its columns: that of the least id.
+
+    Among rows of one id the one of the least text hash stays, among equal ones one of them.
+    """
+    return one_of_each(slides, _rooted(_fingerprinted(slides, words), radius))
