@@ -1,7 +1,8 @@
 """Verdicts on link targets: given rules, and else the labelled purity of path templates.
 
 The paths of a host form a tree. A segment that holds digits, or that few of its siblings' rows
-share, becomes a wildcard; branches below the root whose labels look alike are merged; a template is
+share, becomes a wildcard, and so does what lies deep; a branch of any depth within wildcards is set apart again if
+its labels differ from those it is pooled with; branches of any level whose labels look alike are merged; a template is
 rejected if the smoothed share of bad targets among its labelled ones is too high. All of it is column
 expressions and joins of counts; no rows leave the JVM.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deckloom.llm.common import stored
 
-#: Segments that are told apart; what lies deeper is one wildcard.
+#: Segments that are told apart by their rows; what lies deeper is one wildcard unless labels set it apart.
 DEPTH = 4
 #: A segment stays as it is if at least one in so many rows below its parent has it.
 ONE_IN = 20
@@ -47,6 +48,60 @@ def _shape(path: Column) -> Column:
     return F.regexp_replace(path, _VARIABLE, "/*$1")
 
 
+def _unlike(n: Column, bad: Column, all_n: Column, all_bad: Column) -> Column:
+    """By how much the square of a branch's deviation from its pool exceeds what chance explains; not above zero if alike."""
+    share = all_bad / F.greatest(all_n, F.lit(1))
+    expected = n * share
+    # Squares are compared: no root, and no division by a spread of nothing.
+    return (bad - expected) * (bad - expected) - ALIKE * ALIKE * expected * (F.lit(1.0) - share)
+
+
+def _overall(templates: DataFrame) -> Column:
+    return F.coalesce(templates.agg((F.sum("n_bad") / F.greatest(F.sum("n_labelled"), F.lit(1))).alias("s")).scalar(), F.lit(0.0))
+
+
+def _blocked(n: Column, bad: Column, overall: Column) -> Column:
+    return (bad + F.lit(WEIGHT) * overall) / (n + F.lit(WEIGHT)) >= BLOCKED
+
+
+def _set_apart(tree: DataFrame) -> DataFrame:
+    """Part templates whose labels differ within: ``tree`` with the templates of such branches named.
+
+    A branch is a beginning of paths, or a segment at its place. It is set apart if its labels differ from its
+    template's and alone give another verdict; a path goes to its most unlike branch. Repeated until no branch is.
+    """
+    overall = _overall(tree)
+    while True:
+        pools = tree.groupBy("host", "template").agg(
+            F.sum("n_labelled").alias("all_n"), F.sum("n_bad").alias("all_bad"), F.count(F.lit(1)).alias("shapes")).where(
+            "shapes > 1 AND all_n > 0").drop("shapes")
+        place = F.explode(F.sequence(F.lit(1), F.size("segments")))
+        places = tree.where(F.size("segments") > 0).join(pools, ["host", "template"]).withColumn("place", place)
+        parts, known = F.slice("segments", 1, F.col("place")), F.array_remove(F.split("template", "/"), "")
+        more = F.when(F.size("segments") > F.col("place"), F.lit("/**")).otherwise(F.lit(""))
+        segment = F.element_at("segments", F.col("place"))
+        fixed = F.filter(known, lambda x: x != "**")
+        within = F.concat(F.lit("/"), F.array_join(F.transform(fixed, lambda x, i: F.when(
+            i + 1 == F.col("place"), segment).otherwise(x)), "/"), F.when(F.array_contains(known, "**"), F.lit("/**")).otherwise(F.lit("")))
+        beyond = F.concat(F.when(F.size(fixed) > 0, F.concat(F.lit("/"), F.array_join(fixed, "/"))).otherwise(F.lit("")),
+                          F.repeat(F.lit("/*"), F.col("place") - F.size(fixed) - 1), F.lit("/"), segment, more)
+        names = F.array(F.concat(F.lit("/"), F.array_join(parts, "/"), more), F.when(F.col("place") <= F.size(fixed), within).otherwise(beyond))
+        named = places.withColumn("branch", F.explode(F.array_distinct(names))).where("branch <> template").select(
+            "host", "template", "shape", "branch", "n_labelled", "n_bad", "all_n", "all_bad").distinct()
+        sums = named.groupBy("host", "template", "branch").agg(
+            F.sum("n_labelled").alias("n"), F.sum("n_bad").alias("bad"), F.first("all_n").alias("all_n"), F.first("all_bad").alias("all_bad"))
+        n, bad, all_n, all_bad = (F.col(c).cast("double") for c in ("n", "bad", "all_n", "all_bad"))
+        unlike = _unlike(n, bad, all_n, all_bad)
+        apart = sums.where((F.col("n") < F.col("all_n")) & (unlike > 0) & (
+            _blocked(n, bad, overall) != _blocked(all_n, all_bad, overall))).select("host", "template", "branch", unlike.alias("unlike"))
+        best = stored(named.join(apart, ["host", "template", "branch"]).groupBy("host", "template", "shape").agg(
+            F.max(F.struct("unlike", "branch"))["branch"].alias("branch")), "link-branches")
+        if best.isEmpty():
+            return tree
+        tree = stored(tree.join(best, ["host", "template", "shape"], "left").withColumn(
+            "template", F.coalesce("branch", "template")).drop("branch"), "link-tree")
+
+
 def path_templates(targets: DataFrame) -> DataFrame:
     """``host, shape, template`` and the counts ``n, n_labelled, n_bad``: the tree of every host.
 
@@ -70,24 +125,29 @@ def path_templates(targets: DataFrame) -> DataFrame:
         tree = stored(level.join(often, ["host", "template", "segment"], "left").select(
             "host", "shape", "n", "n_labelled", "n_bad", "segments", F.concat("template", named).alias("template")), "link-tree")
     deeper = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return tree.select("host", "shape", F.concat("template", deeper).alias("template"), "n", "n_labelled", "n_bad")
+    tree = _set_apart(stored(tree.withColumn("template", F.concat("template", deeper)), "link-tree"))
+    return tree.select("host", "shape", "template", "n", "n_labelled", "n_bad")
 
 
 def template_verdicts(templates: DataFrame) -> DataFrame:
     """``host, template, verdict, bad_share`` of each template, after similar branches are merged."""
     leaves = templates.groupBy("host", "template").agg(F.sum("n_labelled").alias("n"), F.sum("n_bad").alias("bad"))
-    family = F.regexp_replace("template", "^/[^/*]+", "/{}")
-    leaves = leaves.withColumn("family", family)
-    pools = leaves.groupBy("host", "family").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    share = F.col("all_bad") / F.greatest(F.col("all_n"), F.lit(1))
-    expected = F.col("n") * share
-    # Squares are compared: no root, and no division by a spread of nothing.
-    alike = (F.col("bad") - expected) * (F.col("bad") - expected) <= ALIKE * ALIKE * expected * (F.lit(1.0) - share)
-    branches = leaves.join(pools, ["host", "family"]).withColumn(
-        "branch", F.when(alike, F.col("family")).otherwise(F.col("template")))
+    segments = F.array_remove(F.split("template", "/"), "")
+    branches = stored(leaves.withColumn("branch", F.lit(None).cast("string")), "link-branches")
+    levels = branches.agg(F.max(F.size(segments))).first()[0] or 0
+    for level in range(1, levels + 1):
+        own = F.element_at(segments, level)
+        family = F.when(F.col("branch").isNull() & (F.size(segments) >= level) & ~own.contains("*"), F.concat(F.lit("/"), F.array_join(
+            F.transform(segments, lambda x, i: F.when(i + 1 == level, F.lit("{}")).otherwise(x)), "/")))  # noqa: B023
+        tried = branches.withColumn("family", family)
+        pools = tried.where("family IS NOT NULL").groupBy("host", "family").agg(
+            F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("leaves")).where("leaves > 1")
+        alike = _unlike(F.col("n"), F.col("bad"), F.col("all_n"), F.col("all_bad")) <= 0
+        branches = stored(tried.join(pools, ["host", "family"], "left").select(
+            "host", "template", "n", "bad", F.coalesce("branch", F.when(alike, F.col("family"))).alias("branch")), "link-branches")
+    branches = branches.withColumn("branch", F.coalesce("branch", "template"))
     merged = branches.groupBy("host", "branch").agg(F.sum("n").alias("branch_n"), F.sum("bad").alias("branch_bad"))
-    overall = templates.agg((F.sum("n_bad") / F.greatest(F.sum("n_labelled"), F.lit(1))).alias("s")).scalar()
-    bad_share = (F.col("branch_bad") + F.lit(WEIGHT) * F.coalesce(overall, F.lit(0.0))) / (F.col("branch_n") + F.lit(WEIGHT))
+    bad_share = (F.col("branch_bad") + F.lit(WEIGHT) * _overall(templates)) / (F.col("branch_n") + F.lit(WEIGHT))
     judged = branches.join(merged, ["host", "branch"]).withColumn("bad_share", bad_share)
     return judged.select("host", "template", "branch", "bad_share", F.when(
         F.col("bad_share") >= BLOCKED, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))

@@ -47,5 +47,32 @@ def test_variable_segments(spark):
     assert sum(r.n for r in found) == len(rows) and sum(r.n_bad for r in found) == 1
 
 
+def test_rare_bad_sections_are_set_apart(spark):
+    """One of thirty equal sections, and one section under a twentieth beside a hot one, keep their own labels."""
+    names = [f"sec{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    urls = [f"https://h.org/{name}/{i}" for name in names for i in range(20)]
+    urls += [f"https://hot.org/{'spam' if i % 25 == 0 else 'news'}/{i}" for i in range(500)]
+    bad = lambda u: "/secah/" in u or "/spam/" in u
+    found = judged(spark, list(enumerate(urls)), [(u, bad(u)) for u in urls])
+    assert {u for i, u in enumerate(urls) if found[i].verdict == "block"} == {u for u in urls if bad(u)}
+
+
+def test_deep_bad_branches_are_set_apart(spark):
+    """Below the fourth segment, by their beginning, or by a segment under variable ones."""
+    urls = [f"https://h.org/a/b/c/d/e/{'spam' if i % 6 == 0 else 'news'}/x/{i}" for i in range(240)]
+    urls += [f"https://u.org/user/n{chr(97 + i % 26)}{chr(97 + i // 26)}/p/q/r/{'junk' if i % 8 == 0 else 'post'}/{i}" for i in range(320)]
+    bad = lambda u: "/spam/" in u or "/junk/" in u
+    found = judged(spark, list(enumerate(urls)), [(u, bad(u)) for u in urls])
+    assert {u for i, u in enumerate(urls) if found[i].verdict == "block"} == {u for u in urls if bad(u)}
+
+
+def test_like_branches_of_deeper_levels_share_their_labels(spark):
+    links = [(i, f"https://h.org/top/{'abcd'[i % 4]}/{i}") for i in range(800)]
+    labelled = [(f"https://h.org/top/{b}/{i}", bad) for b, bad, n in (("a", True, 40), ("b", True, 40), ("c", True, 2), ("d", False, 4)) for i in range(n)]
+    labelled += [(f"https://g.org/x/{i}", False) for i in range(200)]
+    verdicts = {r.template: r.verdict for r in judged(spark, links, labelled).values()}
+    assert verdicts == {"/top/a/*": "block", "/top/b/*": "block", "/top/c/*": "block", "/top/d/*": "allow"}
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
