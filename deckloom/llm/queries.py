@@ -132,3 +132,12 @@ def op5_article(spark, sf_dir):
 
     done = extract_articles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return done.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@query("op13_filter_audit")
+def op13_filter_audit(spark, sf_dir):
+    from deckloom.llm.filter_audit import audit_filters
+
+    reviews = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("slide_id"), (F.col("quality") == 1).alias("content_preserved"), (F.col("toxic") != 1).alias("layout_valid"))
+    return audit_filters(slides(table(spark, sf_dir, "documents"), "source"), reviews)
