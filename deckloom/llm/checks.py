@@ -179,3 +179,17 @@ done AS (
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM done"""
+
+#: Control strings, escaped or not, get one sign more; the template adds three signs to a chat and 17 to a turn.
+SQL["op12_chat_format"] = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, 17 + length(regexp_replace(role, '(<|\[)(\\*/?(?:s>|INST\]))', '\1\\\2', 'g'))
+    + length(regexp_replace(text, '(<|\[)(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) AS signs FROM given)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(signs) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id"""

@@ -141,3 +141,56 @@ def op13_filter_audit(spark, sf_dir):
     reviews = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("slide_id"), (F.col("quality") == 1).alias("content_preserved"), (F.col("toxic") != 1).alias("layout_valid"))
     return audit_filters(slides(table(spark, sf_dir, "documents"), "source"), reviews)
+
+
+@query("op11_run_repair")
+def op11_run_repair(spark, sf_dir):
+    from deckloom.llm.run_repair import repair_messages, repair_report
+
+    given = table(spark, sf_dir, "conversations")
+    number, turn = (F.coalesce(F.col(n).cast("string"), F.lit(" ")) for n in ("conv_id", "turn"))
+    harm = F.crc32(F.concat(number, F.lit(":"), turn)) % 20
+    role, text = (F.coalesce(F.col(n), F.lit(" ")) for n in ("role", "text"))
+    copies = F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    damaged = given.withColumn("harm", harm).where("harm <> 0").select(
+        F.col("conv_id").alias("trace_id"), "turn", F.when(F.col("harm") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        copies.alias("copy"))
+    edits = repair_messages(damaged, given.select(F.col("conv_id").alias("trace_id")))
+    return repair_report(edits).withColumnRenamed("trace_id", "conv_id")
+
+
+def _payload(turns):
+    """A conversation's request payload: short ones in flat layouts, others as messages with texts or with parts."""
+    roles = F.array_join(F.transform(turns, lambda t: t["role"]), ",")
+
+    def body(**fields):
+        return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    flat = F.when((F.size(turns) == 2) & (roles == "user,assistant"), body(prompt=F.get(turns, 0)["text"], completion=F.get(turns, 1)["text"]))
+    flat = flat.when((F.size(turns) == 3) & (roles == "system,user,assistant"), body(
+        instructions=F.get(turns, 0)["text"], input=F.get(turns, 1)["text"], output=F.get(turns, 2)["text"]))
+    parts = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(
+        F.lit("input_text").alias("type"), t["text"].alias("text"))).alias("content")))
+    plain = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return flat.when(F.size(turns) % 2 == 0, body(model=F.lit("m"), input=parts)).otherwise(body(messages=plain))
+
+
+@query("op12_chat_format")
+def op12_chat_format(spark, sf_dir):
+    from deckloom.llm.chat_format import format_chats, learned_text, read_turns
+
+    role, text = (F.coalesce(F.col(n), F.lit("")).alias(n) for n in ("role", "text"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role, text))).alias("turns"))
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text"))
+        for i, r in enumerate(("user", "assistant"))]).alias("turns"))
+    requests = turns.unionByName(probe).select(F.col("conv_id").alias("trace_id"), _payload(F.col("turns")).alias("payload_json"))
+    done = format_chats(requests).select("trace_id", "chat.*")
+    back = done.select(F.col("trace_id").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("turns"),
+                       learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+                       F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
