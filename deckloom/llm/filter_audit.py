@@ -26,10 +26,10 @@ FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 #: Fewest words; most percent of capitals among characters; least percent of distinct words; signs that no text may hold.
 LEAST_WORDS, MOST_CAPITALS, LEAST_DISTINCT, SIGNS = 200, 2, 50, b"#$%&*|"
-#: Bytes of text that a trie takes before it is walked and emptied, and bytes between two bounds that it proposes.
-TRIE_BYTES, STEP_BYTES = 16 << 20, 1 << 20
-#: Bytes of text for each range, and the most ranges (beyond, ranges grow; they are streamed, never held).
-RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
+#: Bytes of text that a trie takes before it is walked and emptied, and bounds that so many bytes (or a task's fewer) propose.
+TRIE_BYTES, PROPOSALS = 16 << 20, 16
+#: Bytes of text for each range, at least where cores are idle, and the most ranges (beyond, ranges grow; they are streamed, never held).
+RANGE_BYTES, LEAST_BYTES, MOST_RANGES = 64 << 20, 1 << 20, 20_000
 _CAPITALS = bytes(range(65, 91))
 _INNER = bytes(range(0x80, 0xC0))
 _ROWS = [("range", pa.int32()), ("text", pa.binary()), ("slide_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()),
@@ -184,19 +184,19 @@ def _batches(rows: Iterator[tuple], place) -> Iterator[pa.RecordBatch]:
 def text_bounds(slides: DataFrame) -> list[bytes]:
     """Prefixes that part all texts into ranges of like size.
 
-    Each slab of texts proposes, after every ``STEP_BYTES`` of its distinct texts in order, the shortest prefix that parts
-    a text from the one before; running totals of what lies between the proposals of all slabs pick the bounds. All texts
+    Each slab of texts is cut by order into ``PROPOSALS`` pieces of as many bytes and proposes, for each, the shortest prefix that parts
+    its last text from the one before; running totals over the pieces of all slabs pick the bounds. All texts
     count, and no more than ``MOST_RANGES`` prefixes reach the driver.
     """
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in _slabs(t for batch in batches for t in batch.column(0).to_pylist()):
-            found, size, before = [], 0, b""
-            for text in sorted(slab):
+            texts, found, size = sorted(slab), [], 0
+            step = sum(map(len, texts)) // PROPOSALS + 1
+            for i, text in enumerate(texts):
                 size += len(text)
-                if size >= STEP_BYTES:
-                    found.append((text[:shared_length(before, text) + 1], size))
+                if size >= step or i + 1 == len(texts):
+                    found.append((text[:shared_length(texts[i - 1] if i else b"", text) + 1], size))
                     size = 0
-                before = text
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
                                               pa.array([f[1] for f in found], pa.int64())], names=["prefix", "bytes"])
             give_back()
@@ -204,7 +204,7 @@ def text_bounds(slides: DataFrame) -> list[bytes]:
     proposed = stored(slides.select(_bytes("text").alias("text")).mapInArrow(propose, "prefix binary, bytes long").withColumn(
         "no", F.monotonically_increasing_id()), "text-bounds")
     total = proposed.agg(F.sum("bytes")).first()[0] or 0
-    least = min(int(slides.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // STEP_BYTES)
+    least = min(int(slides.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_BYTES)
     parts = min(max(total // RANGE_BYTES, least) + 1, MOST_RANGES)
     if parts == 1:
         return []

@@ -98,7 +98,7 @@ def test_small_tries_and_many_ranges(spark, make, monkeypatch):
     for (i, _, part), bad in zip(rows, fails(rows)):
         key = (i, part or "", sum(1 << "ABCDE".index(f) for f in bad))
         want[key] = want.get(key, 0) + 1
-    for name, value in (("TRIE_BYTES", 2000), ("STEP_BYTES", 500), ("RANGE_BYTES", 4000)):
+    for name, value in (("TRIE_BYTES", 2000), ("LEAST_BYTES", 4000), ("RANGE_BYTES", 4000)):
         monkeypatch.setattr(filter_audit, name, value)
     slides = make(rows).repartition(5)
     assert len(filter_audit.text_bounds(slides)) > 4
