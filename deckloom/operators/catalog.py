@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deckloom.operators.matching import candidate_pairs, closest_counts, micro
 from deckloom.operators.shapes import FEATURES
 from deckloom.operators.skew import first_by
-from deckloom.operators.tiles import materialize, numbered, tiled_top_k
+from deckloom.operators.stored import materialize, numbered
 
 c = F.col
 
-# Score weights, archetype bonus and thresholds.
-STRUCTURE_WEIGHT, STYLE_WEIGHT, SAME_ARCHETYPE = 0.78, 0.22, 0.08
+# Thresholds and archetypes.
 FAMILY_THRESHOLD, NEAR_BITS, MATCH_THRESHOLD = 0.72, 4, 0.75
 ARCHETYPES = ["chart", "table", "visual", "title", "dense_content", "process", "content"]
 
@@ -144,87 +142,19 @@ def _signature() -> Column:
                        F.array_join("dominant_colors", ","))
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, out: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """One minus the relative difference of non-negative features, in place."""
-    np.subtract(a[:, None], b[None, :], out=out)
-    np.abs(out, out=out)
-    np.maximum(np.maximum(a, 1.0)[:, None], b[None, :], out=scale)
-    np.divide(out, scale, out=out)
-    np.subtract(1.0, out, out=out)
-    return out
-
-
-def _hot(rows: pd.Series, index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(rows), max(1, len(index))), dtype=np.float32)
-    for i, row in enumerate(rows):
-        out[i, [index[n] for n in row]] = 1
-    return out
-
-
-def _half_up(v: np.ndarray) -> np.ndarray:
-    return np.floor(v * 1e6 + 0.5)
-
-
-def _match_tile(k: int, slab: int = 256):
-    """Best k catalogue signatures per family of each source signature, for one pair of tiles."""
-    columns = ["source_sig", "family_id", "sig", "first_id", "structural_score", "style_score", "confidence"]
-
-    def score(src: pd.DataFrame, cat: pd.DataFrame) -> pd.DataFrame:
-        if len(src) == 0 or len(cat) == 0:
-            return pd.DataFrame(columns=columns)
-        cat = cat.sort_values(["family_id", "first_id"], kind="stable").reset_index(drop=True)
-        families = cat["family_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, families[1:] != families[:-1]])
-        ends = np.r_[starts[1:], len(cat)]
-        index = {n: i for i, n in enumerate(sorted({n for r in (*src["dominant_colors"], *cat["dominant_colors"]) for n in r}))}
-        left_hot, right_hot = _hot(src["dominant_colors"], index), _hot(cat["dominant_colors"], index)
-        left = [src[n].to_numpy(np.float64) for n in FEATURES]
-        right = [cat[n].to_numpy(np.float64) for n in FEATURES]
-        left_kind, right_kind = src["archetype"].to_numpy(), cat["archetype"].to_numpy()
-        ids, found = src["source_sig"].to_numpy(), []
-        # Slabs of a few hundred rows keep the score matrices in the processor cache.
-        for at in range(0, len(src), slab):
-            rows = slice(at, min(at + slab, len(src)))
-            shape = (rows.stop - rows.start, len(cat))
-            total, one, scale = np.zeros(shape), np.empty(shape), np.empty(shape)
-            for a, b in zip(left, right):
-                total += _ratio(a[rows], b, one, scale)
-            structure = total / len(FEATURES)
-            same = left_kind[rows][:, None] == right_kind[None, :]
-            structure = np.where(same, np.minimum(1.0, structure + SAME_ARCHETYPE), structure)
-            inter = (left_hot[rows] @ right_hot.T).astype(np.float64)
-            union = left_hot[rows].sum(1)[:, None] + right_hot.sum(1)[None, :] - inter
-            style = np.where(union == 0, 1.0, inter / np.maximum(union, 1.0))
-            micro = _half_up(STRUCTURE_WEIGHT * structure + STYLE_WEIGHT * style)
-            for lo, hi in zip(starts, ends):
-                width, keep = hi - lo, min(k, hi - lo)
-                # Columns are in id order: the earlier column wins among equal scores.
-                rank = micro[:, lo:hi].astype(np.int64) * width - np.arange(width)
-                best = lo + np.argpartition(-rank, keep - 1, axis=1)[:, :keep]
-                r, col = np.repeat(np.arange(shape[0]), keep), best.ravel()
-                found.append((ids[rows][r], col, _half_up(structure[r, col]), _half_up(style[r, col]), micro[r, col]))
-        own, col, structure, style, micro = (np.concatenate(v) for v in zip(*found))
-        return pd.DataFrame({
-            "source_sig": own, "family_id": families[col], "sig": cat["sig"].to_numpy()[col],
-            "first_id": cat["first_id"].to_numpy()[col], "structural_score": structure / 1e6,
-            "style_score": style / 1e6, "confidence": micro / 1e6})
-
-    return score
-
-
 def template_candidates(source: DataFrame, catalog: DataFrame, source_keys: list[str], k: int = 5) -> DataFrame:
     """The k best template slides of every family for every source slide.
 
-    ``source`` has ``source_keys``, FEATURES (none negative), archetype and dominant_colors;
+    ``source`` has ``source_keys``, FEATURES (none negative), archetype and dominant_colors (six at most);
     ``catalog`` has family_id, template_slide_id (bigint) and the same features. Ties go to the
     lower id. Equal slides share one signature on both sides, and of each catalogue signature at
-    most k members can matter, so hot copies shrink before anything is compared. Signatures are
-    compared tile by tile (``tiled_top_k``) and only tile winners are shuffled.
+    most k members can matter, so hot copies shrink before anything is compared. Which signatures
+    are compared at all is left to the bounds of ``matching``.
     """
-    carried = [*FEATURES, "archetype", "dominant_colors"]
-    src = materialize(source.select(*source_keys, *carried, _signature().alias("signature")), "match-slides")
-    cat = materialize(catalog.select("family_id", "template_slide_id", *carried, _signature().alias("signature")),
-                      "match-slides")
+    carried = [*FEATURES, "archetype", "colors"]
+    src, cat = (df.withColumn("colors", F.array_distinct("dominant_colors")).withColumn("signature", _signature()) for df in (source, catalog))
+    src = materialize(src.select(*source_keys, *carried, "signature"), "match-slides")
+    cat = materialize(cat.select("family_id", "template_slide_id", *carried, "signature"), "match-slides")
     src_sigs = numbered(src.groupBy("signature").agg(*[F.first(n).alias(n) for n in carried]), "source_sig",
                         "match-signatures")
     cat_sigs = numbered(cat.groupBy("family_id", "signature").agg(
@@ -234,13 +164,10 @@ def template_candidates(source: DataFrame, catalog: DataFrame, source_keys: list
     members = cat.select("family_id", "signature", "template_slide_id").withColumn(
         "_n", F.row_number().over(low)).filter(c("_n") <= k).join(
         cat_sigs.select("family_id", "signature", "sig"), ["family_id", "signature"]).select("sig", "template_slide_id")
-    family_type = dict(catalog.dtypes)["family_id"]
     best_sigs = Window.partitionBy("source_sig", "family_id").orderBy(c("confidence").desc(), "first_id")
-    ranked = tiled_top_k(
-        src_sigs.drop("signature"), cat_sigs.drop("signature"), "source_sig", "sig", _match_tile(k),
-        f"source_sig bigint, family_id {family_type}, sig bigint, first_id bigint, "
-        "structural_score double, style_score double, confidence double",
-        lambda df: df.withColumn("_n", F.row_number().over(best_sigs)).filter(c("_n") <= k).drop("_n")).drop("first_id")
+    ranked = candidate_pairs(src_sigs.drop("signature"), cat_sigs.drop("signature"), k).withColumn(
+        "_n", F.row_number().over(best_sigs)).filter(c("_n") <= k).drop("_n", "first_id").withColumns({
+            "structural_score": micro(c("structure")) / 1e6, "style_score": micro(c("style")) / 1e6, "confidence": c("confidence") / 1e6})
     best = Window.partitionBy("source_sig", "family_id").orderBy(c("confidence").desc(), "template_slide_id")
     top = ranked.join(members, "sig").withColumn("match_rank", F.row_number().over(best)).filter(
         c("match_rank") <= k)
@@ -293,23 +220,6 @@ def rerank(matches: DataFrame, desired: DataFrame, fallback: DataFrame, keys: li
                              ).drop("_p", "_c", "desired_id", "fallback_id")
 
 
-def _family_tile(src: pd.DataFrame, cat: pd.DataFrame) -> pd.DataFrame:
-    if len(src) == 0 or len(cat) == 0:
-        return pd.DataFrame(columns=["source_sig", "family_id", "score"])
-    a, b = src[ARCHETYPES].to_numpy(np.float64), cat[ARCHETYPES].to_numpy(np.float64)
-    inter = np.zeros((len(a), len(b)))
-    union = np.zeros((len(a), len(b)))
-    for i in range(len(ARCHETYPES)):
-        inter += np.minimum(a[:, i][:, None], b[:, i][None, :])
-        union += np.maximum(a[:, i][:, None], b[:, i][None, :])
-    score = inter / np.maximum(union, 1.0)
-    ids = cat["family_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    best = order[np.argmax(score[:, order], axis=1)]
-    return pd.DataFrame({"source_sig": src["source_sig"], "family_id": ids[best],
-                         "score": score[np.arange(len(a)), best]})
-
-
 def _archetype_counts(slides: DataFrame, key: str) -> DataFrame:
     counts = slides.groupBy(key).agg(*[F.count_if(c("archetype") == a).alias(a) for a in ARCHETYPES])
     return counts.withColumn("signature", F.concat_ws("|", *[c(a).cast("string") for a in ARCHETYPES]))
@@ -321,17 +231,14 @@ def family_match(decks: DataFrame, families: DataFrame, deck: str,
 
     Both inputs are slide rows with ``archetype``; ``families`` also has family_id. Below the
     threshold family_id is null and ``new_family`` holds the deck's signature: unmatched decks
-    with equal signatures form one new family.
+    with equal signatures form one new family. ``score`` is that of the best family, if any has a slide in common.
     """
     deck_rows, fam = _archetype_counts(decks, deck), _archetype_counts(families, "family_id")
     deck_rows = materialize(deck_rows, "family-decks")
     sigs = numbered(deck_rows.groupBy("signature", *ARCHETYPES).count().drop("count"), "source_sig", "family-signatures")
     fam_sigs = numbered(fam.groupBy("signature", *ARCHETYPES).agg(F.min("family_id").alias("family_id")), "sig",
                         "family-signatures")
-    id_type = dict(families.dtypes)["family_id"]
-    tiles = tiled_top_k(sigs.drop("signature"), fam_sigs.drop("signature"), "source_sig", "sig", _family_tile,
-                        f"source_sig bigint, family_id {id_type}, score double", lambda df: df)
-    best = tiles.groupBy("source_sig").agg(F.min(F.struct((-c("score")).alias("s"), "family_id")).alias("_b")).join(
+    best = closest_counts(sigs.drop("signature"), fam_sigs.drop("signature"), ARCHETYPES).join(
         sigs.select("source_sig", "signature"), "source_sig")
     fits = -c("_b.s") >= threshold
     return deck_rows.select(deck, "signature").join(best, "signature", "left").select(

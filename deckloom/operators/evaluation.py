@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckloom.operators.gates import editable_contract
-from deckloom.operators.tiles import materialize
+from deckloom.operators.stored import materialize
 
 c = F.col
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.operators.tiles import materialize
+from deckloom.operators.stored import materialize
 
 c = F.col
 

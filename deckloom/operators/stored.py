@@ -1,18 +1,12 @@
-"""Best matches between two tables by a score that no join key can express."""
+"""Results that are read more than once: written to the shared folder and read back."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.session import shared_dir
 
-TILE_ROWS = 4096
-
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
@@ -24,29 +18,3 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 def numbered(df: DataFrame, key: str, purpose: str) -> DataFrame:
     """Stored copy of ``df`` with a compact bigint ``key``; stored, so that the numbers stay put."""
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), purpose)
-
-
-def tiled_top_k(source: DataFrame, catalog: DataFrame, source_key: str, catalog_key: str,
-                score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                merge: Callable[[DataFrame], DataFrame], tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Score every source row against every catalog row without ever emitting all pairs.
-
-    Both tables are stored ones (see ``numbered``) of distinct signatures, so copies never
-    multiply work. Each side is hashed into tiles of about ``tile_rows`` rows; a task gets one
-    source tile and one catalog tile and returns only that tile's best rows; ``merge`` picks the
-    best of several catalog tiles and is left out when there is one. Task memory depends on ``tile_rows`` alone, and nothing passes through
-    the driver but the two row counts.
-    """
-    n_left = max(1, math.ceil(source.count() / tile_rows))
-    n_right = max(1, math.ceil(catalog.count() / tile_rows))
-    # More source tiles than memory asks for keep all cores busy against a small catalog.
-    n_left = max(n_left, math.ceil(source.sparkSession.sparkContext.defaultParallelism / n_right))
-
-    def tile(df: DataFrame, key: str, parts: int, own: str, other: str, others: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn(other, spread)
-
-    a = tile(source, source_key, n_left, "_a", "_b", n_right)
-    b = tile(catalog, catalog_key, n_right, "_b", "_a", n_left)
-    best = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(score, schema)
-    return best if n_right == 1 else merge(best)

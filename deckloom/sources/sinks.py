@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from deckloom.functions import text as tx
 from deckloom.operators.skew import first_by
-from deckloom.operators.tiles import materialize
+from deckloom.operators.stored import materialize
 
 c = F.col
 

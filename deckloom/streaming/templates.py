@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from deckloom.operators.catalog import NEAR_BITS, family_match, first_near
 from deckloom.operators.skew import first_by
-from deckloom.operators.tiles import materialize
+from deckloom.operators.stored import materialize
 from deckloom.sources.sinks import existing
 from deckloom.streaming.events import run_to_end
 

@@ -1,11 +1,13 @@
 """Operators that split hot groups, against brute force on small but skewed tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from deckloom.operators import catalog, content, gates, package, shapes, skew
+from deckloom.operators import catalog, content, gates, matching, package, shapes, skew
 from deckloom.operators import pixels as px
 from deckloom.plans.registry import QUERIES
 
@@ -107,10 +109,9 @@ def features(n, families=0):
     return out + [tuple([out[0][0], n + j, *out[0][2:]] if families else [n + j, *out[0][1:]]) for j in range(8)]
 
 
-def test_template_candidates_equal_brute_force(table, monkeypatch):
+def test_template_candidates_equal_brute_force(table):
     names = ", ".join(f"{f} {'double' if f.startswith('mean') else 'bigint'}" for f in shapes.FEATURES)
     src, cat = features(40), features(60, families=3)
-    monkeypatch.setattr("deckloom.operators.tiles.tiled_top_k.__defaults__", (16,))
     got = catalog.template_candidates(
         table(src, f"slide bigint, {names}, archetype string, dominant_colors array<string>"),
         table(cat, f"family_id bigint, template_slide_id bigint, {names}, archetype string, dominant_colors array<string>"),
@@ -135,6 +136,48 @@ def test_template_candidates_equal_brute_force(table, monkeypatch):
     assert rows(got, "slide", "family_id", "match_rank", "template_slide_id", "confidence") == sorted(want)
 
 
+def test_few_pairs_are_scored(table):
+    """Most slides share one colour and layout; still the scored pairs stay far below the product of both sides."""
+    def made(n, start):
+        out = []
+        for i in range(n):
+            hot = RNG.random() < 0.4
+            kind = [3, 0, 0, 3, 0, 0] if hot else RNG.integers(0, 40, 6).tolist()
+            colors = ["#fff"] if hot else [f"#{v}" for v in sorted(set(RNG.integers(0, 30, 4).tolist()))]
+            out.append((start + i, *[int(v) for v in kind], float(RNG.integers(1, 400)), float(RNG.integers(1, 400)), "content", colors))
+        return out
+
+    names = ", ".join(f"{f} {'double' if f.startswith('mean') else 'bigint'}" for f in shapes.FEATURES)
+    src, cat = made(400, 0), made(400, 0)
+    source = table(src, f"source_sig bigint, {names}, archetype string, colors array<string>")
+    templates = table([(1, i, *r) for i, r in enumerate(cat)], f"family_id int, sig bigint, first_id bigint, {names}, archetype string, colors array<string>")
+    pairs = matching.candidate_pairs(source, templates, 5)
+    assert pairs.count() < 400 * 400 / 4
+    assert pairs.groupBy("source_sig").count().where("count < 5").count() == 0
+
+
+def test_family_match_equals_brute_force(table):
+    """Decks and families with a large common group, empty overlaps and ties."""
+    def slides_of(n, start):
+        out = {}
+        for i in range(n):
+            kinds = ["title"] * 3 + ["content"] * 4 if RNG.random() < 0.3 else RNG.choice(
+                ["chart", "table", "visual", "title", "content"][:int(RNG.integers(1, 6))], int(RNG.integers(1, 60))).tolist()
+            out[start + i] = kinds
+        return out
+
+    decks, families = slides_of(80, 0), slides_of(70, 100)
+    decks[999] = ["process"]
+    got = catalog.family_match(table([(d, k) for d, ks in decks.items() for k in ks], "deck int, archetype string"),
+                               table([(f, k) for f, ks in families.items() for k in ks], "family_id int, archetype string"), "deck")
+    want = []
+    for deck, kinds in decks.items():
+        a = Counter(kinds)
+        score, family = min((-sum((a & Counter(k)).values()) / sum((a | Counter(k)).values()), f) for f, k in families.items())
+        want.append((deck, family if -score >= 0.72 else None, round(-score, 6)))
+    assert sorted(tuple(r) for r in got.select("deck", "family_id", "score").collect()) == sorted(want)
+
+
 def test_grid_filter_on_ragged_pixels(table):
     data = [(1, int(x), int(y), int(RNG.integers(0, 9))) for x in range(9) for y in range(7) if RNG.random() < 0.8]
     out = px.grid_filter(table(data, "id int, x bigint, y bigint, v bigint"), ["id"], 1, [("v", "sum", "s"), ("v", "max", "m")])
