@@ -124,12 +124,13 @@ def list_recent(rows: DataFrame, created: str = "created_at", tie: str = "sequen
 
 
 def lineage(jobs: DataFrame, job: str = "job_id", parent: str = "parent_job_id") -> DataFrame:
-    """Root and depth of every job, following parents.
+    """Root and depth of every job, following parents; ``reason`` is null, or ``cycle`` for jobs that never reach a root.
 
     Pointer doubling: every round joins the jobs that have not reached a root with all jobs' last
     known ancestors and doubles the distance covered, so a chain of depth d takes log2(d) joins. Only unfinished jobs are
     carried on and written to the shared folder; finished ones stay where the round left them. A parent that is not in the table
-    ends the chain at its child. Links form a cycle as soon as a round brings no job to a root.
+    ends the chain at its child. As soon as a round brings no job to a root, all that are left lead into cycles: they come back with the
+    least job of their cycle as ``root_id`` and no depth.
     """
     ids = jobs.select(c(job).alias("_known"))
     linked = jobs.select(job, parent).join(ids, c(parent) == c("_known"), "left")
@@ -149,13 +150,34 @@ def lineage(jobs: DataFrame, job: str = "job_id", parent: str = "parent_job_id")
         left = moved.filter("NOT _ended").drop("_ended")
         before, n_left = n_left, left.count()
         if n_left == before:
-            raise ValueError("parent links form a cycle")
+            break
         done.append(ended)
         roots = roots.unionByName(ended.select(c(job).alias("_up"), c("_up").alias("_root"), c("depth").alias("_above")))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select(job, c("_up").alias("root_id"), "depth")
+    out = out.select(job, c("_up").alias("root_id"), "depth", F.lit(None).cast("string").alias("reason"))
+    if not n_left:
+        return out
+    cyclic = _cycles(left.select(job).join(jobs.select(job, parent), job), n_left, job, parent)
+    return out.unionByName(cyclic.select(job, "root_id", F.lit(None).cast("bigint").alias("depth"), F.lit("cycle").alias("reason")))
+
+
+def _cycles(links: DataFrame, n: int, job: str, parent: str) -> DataFrame:
+    """``root_id``, the least job of the cycle that each of ``n`` jobs leads into; every parent is one of them.
+
+    Doubling keeps the ancestor 2^k steps above and the least job on the way. After as many steps as there are jobs an ancestor lies
+    on the cycle, and the least job on its own way is the least of the cycle.
+    """
+    known = materialize(links.select(c(job).alias("_job"), c(parent).alias("_up"), c(job).alias("_least")).distinct(), "cycles")
+    steps = 1
+    while steps < n:
+        above = known.select(c("_job").alias("_up"), c("_up").alias("_next"), c("_least").alias("_there"))
+        known = materialize(known.join(above, "_up").select(
+            "_job", c("_next").alias("_up"), F.least("_least", "_there").alias("_least")), "cycles")
+        steps *= 2
+    there = known.select(c("_job").alias("_up"), c("_least").alias("root_id"))
+    return known.select(c("_job").alias(job), "_up").join(there, "_up").select(job, "root_id")
 
 
 def expire_jobs(jobs: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:

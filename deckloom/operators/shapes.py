@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deckloom.functions import values as vl
 from deckloom.operators.skew import position
+from deckloom.operators.stored import materialize
 
 c = F.col
 
@@ -147,17 +148,26 @@ def overlapping_shapes(a: DataFrame, b: DataFrame | None, keys: list[str], id_co
 def suppress_covered(boxes: DataFrame, keys: list[str], id_col: str = "shape_id",
                      box: tuple[str, ...] = ("x_pt", "y_pt", "w_pt", "h_pt"), threshold: float = 0.75,
                      cell: int = 256) -> DataFrame:
-    """Shapes whose box no larger one covers to ``threshold`` of the smaller area.
+    """Shapes whose box no larger one that stays covers to ``threshold`` of the smaller area.
 
-    Of two boxes with the same area the earlier in (x, y, w, h) order stays. Shapes of equal boxes all
-    stay or all go; ``box_id`` is their least id.
+    Of two boxes with the same area the earlier in (x, y, w, h) order counts as the larger. A box that is covered itself covers no other. In
+    every round the boxes that nothing undecided covers stay, those that they cover go, and what is left is decided anew: as many rounds
+    as the longest chain of boxes that cover each other by turns. Shapes of equal boxes all stay or all go; ``box_id`` is their least id.
     """
     pairs = overlapping_shapes(boxes, None, keys, id_col, box, threshold, cell=cell)
-    a_area, b_area = c("a_w") * c("a_h"), c("b_w") * c("b_h")
-    same = F.struct(*[f"a_{m}" for m in "xywh"]) == F.struct(*[f"b_{m}" for m in "xywh"])
-    loses_a = a_area < b_area
-    covered = pairs.filter(~same).select(
-        *keys, *[F.when(loses_a, c(f"a_{m}")).otherwise(c(f"b_{m}")).alias(n) for m, n in zip("xywh", box)])
+    one, other = (F.struct(*[c(f"{side}_{m}").alias(m) for m in "xywh"]) for side in "ab")
+    loses_a = c("a_w") * c("a_h") < c("b_w") * c("b_h")
+    covers = materialize(pairs.filter(one != other).select(
+        *keys, F.when(loses_a, other).otherwise(one).alias("winner"), F.when(loses_a, one).otherwise(other).alias("loser")), "covers")
+    gone = covers.select(*keys, c("loser").alias("box")).limit(0)
+    while not covers.isEmpty():
+        losers = covers.select(*keys, c("loser").alias("winner"))
+        firm = covers.select(*keys, "winner").distinct().join(losers, [*keys, "winner"], "left_anti")
+        round_ = materialize(covers.join(firm, [*keys, "winner"], "left_semi").select(*keys, "loser").distinct(), "covered")
+        gone = gone.unionByName(round_.withColumnRenamed("loser", "box"))
+        covers = materialize(covers.join(round_, [*keys, "loser"], "left_anti").join(
+            round_.withColumnRenamed("loser", "winner"), [*keys, "winner"], "left_anti"), "covers")
+    covered = gone.select(*keys, *[c(f"box.{m}").alias(n) for m, n in zip("xywh", box)])
     return box_members(boxes, keys, id_col, box).join(covered, [*keys, *box], "left_anti")
 
 

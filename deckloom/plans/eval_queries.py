@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deckloom.operators import evaluation as ev
@@ -151,24 +152,24 @@ BEST = ", ".join(f"CASE WHEN reason IN {OK} THEN {n} ELSE {b} END" for n, b in z
     ("sim", "st", "wo", "ra", "rb"), ("bs", "bt", "bw", "ba", "bb")))
 
 
-@query("wn07_accepted_trail", "fx_eval_case", f"""r AS (SELECT run_id, case_id, coalesce(passed, TRUE) AS ed, {FIG} AS sim, score_milli * 7 % 1001 / 1000.0::DOUBLE AS st, score_milli * 11 % 1001 / 1000.0::DOUBLE AS wo,
- case_id % 50 / 50.0::DOUBLE AS ra, case_id % 40 / 40.0::DOUBLE AS rb, case_id % 3 AS ch, row_number() OVER (PARTITION BY run_id ORDER BY case_id) AS rn FROM fx_eval_case),
-tr AS (SELECT run_id, case_id, rn, CASE WHEN ed THEN 'first valid' ELSE 'not editable' END AS reason, CASE WHEN ed THEN sim END AS bs, CASE WHEN ed THEN st END AS bt, CASE WHEN ed THEN wo END AS bw,
+@query("wn07_accepted_trail", "fx_eval_case", f"""r AS (SELECT customer_id, case_id, coalesce(passed, TRUE) AS ed, {FIG} AS sim, score_milli * 7 % 1001 / 1000.0::DOUBLE AS st, score_milli * 11 % 1001 / 1000.0::DOUBLE AS wo,
+ case_id % 50 / 50.0::DOUBLE AS ra, case_id % 40 / 40.0::DOUBLE AS rb, case_id % 3 AS ch, row_number() OVER (PARTITION BY customer_id ORDER BY case_id) AS rn FROM fx_eval_case),
+tr AS (SELECT customer_id, case_id, rn, CASE WHEN ed THEN 'first valid' ELSE 'not editable' END AS reason, CASE WHEN ed THEN sim END AS bs, CASE WHEN ed THEN st END AS bt, CASE WHEN ed THEN wo END AS bw,
   CASE WHEN ed THEN ra END AS ba, CASE WHEN ed THEN rb END AS bb FROM r WHERE rn = 1
- UNION ALL SELECT run_id, case_id, rn, reason, {BEST}
+ UNION ALL SELECT customer_id, case_id, rn, reason, {BEST}
  FROM (SELECT r.*, bs, bt, bw, ba, bb, CASE WHEN NOT ed THEN 'not editable' WHEN bs IS NULL THEN 'first valid' WHEN sim >= bs + 0.0005::DOUBLE THEN 'global gain'
    WHEN sim >= bs - 0.005::DOUBLE AND (st >= bt + 0.01::DOUBLE OR wo >= bw + 0.02::DOUBLE) THEN 'structural gain'
-   WHEN sim >= bs - 0.005::DOUBLE AND (ch = 1 AND ra - ba >= 0.015::DOUBLE OR ch = 2 AND ((ra - ba + rb - bb) / 2 >= 0.015::DOUBLE AND least(ra - ba, rb - bb) >= -0.03::DOUBLE)) THEN 'changed objects gain' ELSE 'no gain' END AS reason FROM tr JOIN r ON r.run_id = tr.run_id AND r.rn = tr.rn + 1))""", f"""
-SELECT run_id, case_id, reason IN {OK} AS accepted, reason FROM tr""")
+   WHEN sim >= bs - 0.005::DOUBLE AND (ch = 1 AND ra - ba >= 0.015::DOUBLE OR ch = 2 AND ((ra - ba + rb - bb) / 2 >= 0.015::DOUBLE AND least(ra - ba, rb - bb) >= -0.03::DOUBLE)) THEN 'changed objects gain' ELSE 'no gain' END AS reason FROM tr JOIN r ON r.customer_id = tr.customer_id AND r.rn = tr.rn + 1))""", f"""
+SELECT customer_id, case_id, reason IN {OK} AS accepted, reason FROM tr""")
 def wn07(t):
     a, b = c("case_id") % 50 / 50, c("case_id") % 40 / 40
     changed = F.when(c("case_id") % 3 == 1, F.array(F.lit("a"))).when(c("case_id") % 3 == 2, F.array(F.lit("a"), F.lit("b")))
     cands = t.fx_eval_case.select(
-        "run_id", "case_id", F.coalesce("passed", F.lit(True)).alias("editable"), (score() / 1000).alias("similarity_score"),
+        "customer_id", "case_id", F.coalesce("passed", F.lit(True)).alias("editable"), (score() / 1000).alias("similarity_score"),
         (score() * 7 % 1001 / 1000).alias("structural_score"), (score() * 11 % 1001 / 1000).alias("worst_object"),
         F.coalesce(changed, F.array().cast("array<string>")).alias("changed_ids"), F.array(F.lit("a"), F.lit("b")).alias("region_ids"),
         F.array(a, b).alias("region_structure"), F.array(F.lit(0.5), F.lit(0.5)).alias("region_similarity"))
-    return gt.accepted_trail(cands, "run_id", "case_id")
+    return gt.accepted_trail(cands, "customer_id", "case_id")
 
 
 @query("ag21_average_reviews", "fx_review", "v AS (SELECT * FROM fx_review)", """
@@ -259,7 +260,19 @@ def jn19(t):
 @query("jn20_lineage", "fx_lineage", """up AS (SELECT job_id, job_id AS root_id, CAST(0 AS BIGINT) AS depth FROM fx_lineage l WHERE parent_job_id IS NULL OR parent_job_id NOT IN (SELECT job_id FROM fx_lineage)
  UNION ALL SELECT l.job_id, up.root_id, up.depth + 1 FROM fx_lineage l JOIN up ON l.parent_job_id = up.job_id)""", "SELECT * FROM up")
 def jn20(t):
-    return ev.lineage(t.fx_lineage)
+    return ev.lineage(t.fx_lineage).drop("reason")
+
+
+@query("jn20_lineage_cycles", "orders", """g AS (SELECT o_orderkey AS job_id, o_custkey % 2 = 0 AS round, min(o_orderkey) OVER w AS least, max(o_orderkey) OVER w AS most,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS above FROM orders WINDOW w AS (PARTITION BY o_custkey))""", """
+SELECT job_id, CASE WHEN round THEN least ELSE most END AS root_id, CASE WHEN NOT round THEN above END AS depth, CASE WHEN round THEN 'cycle' END AS reason FROM g""")
+def jn20_cycles(t):
+    """Each customer's orders are a chain of jobs; those of every other customer are closed to a cycle."""
+    own = Window.partitionBy("o_custkey")
+    later = F.lead("o_orderkey").over(own.orderBy("o_orderkey"))
+    jobs = t.orders.select(c("o_orderkey").alias("job_id"), F.coalesce(
+        later, F.when(c("o_custkey") % 2 == 0, F.min("o_orderkey").over(own))).alias("parent_job_id"))
+    return ev.lineage(jobs)
 
 
 @query("jn21_stale_plans", "orders customer", "", """

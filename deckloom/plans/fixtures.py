@@ -32,7 +32,7 @@ SELECT user_id AS job_id, event_id AS sequence, ts AS created_at,
 SELECT o_orderkey AS case_id, o_orderpriority AS endpoint,
  CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS passed,
  CAST(floor(o_totalprice) AS BIGINT) % 1001 AS score_milli,
- o_custkey % 3 + 1 AS candidate_index, o_custkey % 97 AS run_id FROM {orders}""",
+ o_custkey % 3 + 1 AS candidate_index, o_custkey % 97 AS run_id, o_custkey AS customer_id FROM {orders}""",
     "fx_text_version": """
 SELECT doc_id, lang, text AS before_text, CASE doc_id % 6 WHEN 0 THEN lower(text) WHEN 1 THEN concat(text, ' extra')
  WHEN 2 THEN concat(text, ' 1,250') WHEN 3 THEN replace(text, '.', ' .') ELSE text END AS after_text FROM {documents}""",

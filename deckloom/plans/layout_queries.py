@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deckloom.functions import values as vl
@@ -210,6 +211,14 @@ def prj13(t):
     return lay.selection_out_of_range(decks, picks)
 
 
+@query("prj13_selected_slides", "fx_shape", "n AS (SELECT deck_id, slide_id, dense_rank() OVER (PARTITION BY deck_id ORDER BY slide_id) AS slide_index FROM (SELECT DISTINCT deck_id, slide_id FROM fx_shape))", """
+SELECT deck_id, slide_id, CAST(slide_index AS INTEGER) AS slide_index FROM n WHERE slide_index IN (1, 3, 8)""")
+def prj13_selected(t):
+    order = Window.partitionBy("deck_id").orderBy("slide_id")
+    slides = t.fx_shape.select("deck_id", "slide_id").distinct().withColumn("slide_index", F.row_number().over(order))
+    return lay.select_slides(slides, [3, 1, 8, 3])
+
+
 @query("prj14_raster_policy", "fx_shape", "p AS (SELECT *, CASE font_pt % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'texture' ELSE 'raster_illustration' END AS ct FROM fx_shape WHERE kind = 'pic')", """
 SELECT slide_id, shape_id, unnest(list_filter(['policy_photos-only', CASE WHEN w_pt * h_pt / (300 * 200.0::DOUBLE) >= 0.72 THEN 'full_slide_illustration' END], lambda r: r IS NOT NULL)) AS reason
 FROM p WHERE ct = 'raster_illustration'""")
@@ -322,10 +331,13 @@ def jn12(t):
 
 
 @query("wn13_suppress_covered", "fx_shape", BOX_CTE + """,
-cov AS (SELECT *, a_w * a_h < b_w * b_h AS la FROM pr WHERE CAST(overlap_area AS DOUBLE) / least(a_w * a_h, b_w * b_h) >= 0.75 AND (a_x, a_y, a_w, a_h) <> (b_x, b_y, b_w, b_h)),
-lost AS (SELECT slide_id, CASE WHEN la THEN a_x ELSE b_x END AS x, CASE WHEN la THEN a_y ELSE b_y END AS y, CASE WHEN la THEN a_w ELSE b_w END AS w, CASE WHEN la THEN a_h ELSE b_h END AS h FROM cov)""", """
+rb AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY w * h DESC, x, y, w, h) AS rn FROM bx),
+gr AS (SELECT slide_id, rn, TRUE AS stays, [{'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM rb WHERE rn = 1
+ UNION ALL SELECT slide_id, rn, stays, CASE WHEN stays THEN list_append(kept, {'x': x, 'y': y, 'w': w, 'h': h}) ELSE kept END
+ FROM (SELECT rb.slide_id, rb.rn, rb.x, rb.y, rb.w, rb.h, gr.kept, len(list_filter(gr.kept, lambda k: CAST(greatest(0, least(k.x + k.w, rb.x + rb.w) - greatest(k.x, rb.x))
+   * greatest(0, least(k.y + k.h, rb.y + rb.h) - greatest(k.y, rb.y)) AS DOUBLE) / (rb.w * rb.h) >= 0.75)) = 0 AS stays FROM gr JOIN rb ON rb.slide_id = gr.slide_id AND rb.rn = gr.rn + 1))""", """
 SELECT slide_id, shape_id, x_pt, y_pt, w_pt, h_pt, id AS box_id FROM fx_shape
-JOIN (SELECT * FROM bx ANTI JOIN lost USING (slide_id, x, y, w, h)) k USING (slide_id) WHERE x = x_pt AND y = y_pt AND w = w_pt AND h = h_pt""")
+JOIN (SELECT rb.* FROM rb JOIN gr USING (slide_id, rn) WHERE stays) k USING (slide_id) WHERE x = x_pt AND y = y_pt AND w = w_pt AND h = h_pt""")
 def wn13(t):
     return sh.suppress_covered(t.fx_shape, ["slide_id"])
 

@@ -56,7 +56,8 @@ def _one_file_each(rows, key: str, root: str) -> str:
 
 
 @query("src05_specs", "supplier", "", """
-SELECT s_suppkey AS slide, 1280 AS source_width, CAST(s_nationkey AS INTEGER) AS source_height, s_name AS id, CAST(s_suppkey % 90 AS DOUBLE) AS x, s_suppkey % 10 = 0 AS broken,
+SELECT s_suppkey AS slide, CASE WHEN s_suppkey % 10 <> 0 THEN 1280 END AS source_width, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_nationkey AS INTEGER) END AS source_height,
+ CASE WHEN s_suppkey % 10 <> 0 THEN s_name END AS id, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey % 90 AS DOUBLE) END AS x, s_suppkey % 10 = 0 AS broken,
  CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN 'surprise' WHEN s_suppkey % 10 = 2 THEN 'elements.fill.tint' ELSE '' END AS unknown FROM supplier""")
 def src05(t):
     nothing = F.lit(None).cast("string")
@@ -70,26 +71,22 @@ def src05(t):
     specs = files.read_specs(t.spark, f"{root}/*/*.txt").withColumn("slide", F.regexp_extract("path", "slide=([0-9]+)/", 1).cast("bigint"))
     rows = specs.select("slide", c("_corrupt_record").isNotNull().alias("broken"), F.array_join("unknown_keys", ",").alias("unknown"))
     places = files.spec_elements(specs, "slide").select("slide", "source_width", "source_height", "id", "x")
-    return rows.join(places, "slide", "left").join(t.supplier.select(c("s_suppkey").alias("slide"), "s_name", "s_nationkey"), "slide").select(
-        "slide", "broken", "unknown", F.when(c("broken"), 1280).otherwise(c("source_width")).alias("source_width"),
-        F.when(c("broken"), c("s_nationkey").cast("int")).otherwise(c("source_height")).alias("source_height"),
-        F.when(c("broken"), c("s_name")).otherwise(c("id")).alias("id"),
-        F.when(c("broken"), (c("slide") % 90).cast("double")).otherwise(c("x")).alias("x"))
+    return rows.join(places, "slide", "left").select("slide", "broken", "unknown", "source_width", "source_height", "id", "x")
 
 
 @query("src07_manifest", "supplier nation", "", """
 SELECT s_name AS case_id, n_name AS source, CAST(s_suppkey AS INTEGER) AS page, 'c' || s_suppkey % 4 AS category, 1280 AS canvas_width, 'https://x.example/' || n_nationkey AS url
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def src07(t):
-    """One manifest for each region, with a source for each of its nations."""
+    """One manifest for each nation and block of supplier keys: manifests stay small, and their number grows."""
     case = F.struct(c("s_name").alias("id"), c("n_name").alias("source"), c("s_suppkey").cast("int").alias("page"),
                     F.concat(F.lit("c"), (c("s_suppkey") % 4).cast("string")).alias("category"))
     source = F.struct("n_name", F.struct(F.concat(F.lit("https://x.example/"), c("n_nationkey").cast("string")).alias("url")))
     joined = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey"))
-    manifests = joined.groupBy("n_regionkey").agg(F.to_json(F.struct(
+    manifests = joined.groupBy(F.concat_ws("-", "n_nationkey", F.floor(c("s_suppkey") / 1000)).alias("part")).agg(F.to_json(F.struct(
         F.lit(1).alias("version"), F.struct(F.lit(1280).alias("width"), F.lit(720).alias("height")).alias("canvas"),
         F.map_from_entries(F.collect_set(source)).alias("sources"), F.collect_list(case).alias("cases"))).alias("value"))
-    root = _one_file_each(manifests, "n_regionkey", shared_dir(t.spark, "manifests"))
+    root = _one_file_each(manifests, "part", shared_dir(t.spark, "manifests"))
     return files.read_manifest(t.spark, f"{root}/*/*.txt").select("case_id", "source", "page", "category", "canvas_width", "url")
 
 

@@ -1,6 +1,7 @@
 """Rules on hand-made rows with hand-computed answers."""
 
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -359,10 +360,15 @@ def test_lineage_of_long_and_broken_chains(table):
     chain = [(i, i - 1 if i else None) for i in range(40)] + [(100, 999)]
     out = evaluation.lineage(table(chain, "job_id bigint, parent_job_id bigint"))
     assert rows(out.filter("job_id in (0, 39, 100)"), "job_id", "root_id", "depth") == [(0, 0, 0), (39, 0, 39), (100, 100, 0)]
-    with pytest.raises(ValueError, match="cycle"):
-        evaluation.lineage(table([(1, 2), (2, 1)], "job_id bigint, parent_job_id bigint"))
-    with pytest.raises(ValueError, match="cycle"):
-        evaluation.lineage(table([(0, None), (5, 0), (1, 2), (2, 3), (3, 1)], "job_id bigint, parent_job_id bigint"))
+    # Cycles, tails that lead into them and a job that is its own parent take nothing from the others.
+    links = [(0, None), (5, 0), (1, 2), (2, 3), (3, 1), (9, 3), (8, 9), (7, 7), (20, 21), (21, 20)]
+    out = evaluation.lineage(table(links, "job_id bigint, parent_job_id bigint"))
+    assert rows(out, "job_id", "root_id", "depth", "reason") == [
+        (0, 0, 0, None), (1, 1, None, "cycle"), (2, 1, None, "cycle"), (3, 1, None, "cycle"), (5, 0, 1, None), (7, 7, None, "cycle"),
+        (8, 1, None, "cycle"), (9, 1, None, "cycle"), (20, 20, None, "cycle"), (21, 20, None, "cycle")]
+    ring = [(i, (i + 1) % 300) for i in range(300)] + [(1000 + i, 999 + i if i else 4) for i in range(500)]
+    out = evaluation.lineage(table(ring, "job_id bigint, parent_job_id bigint"))
+    assert rows(out.select("root_id", "reason").distinct(), "root_id", "reason") == [(0, "cycle")] and out.count() == 800
 
 
 def test_expired_jobs_keep_malformed_stamps(table):
@@ -467,3 +473,29 @@ def test_merge_and_split_reject_unknown(table):
     moved, rejected = catalog.split_family(t, "a", table([(1,), (3,)], "template_id int"), "new", F.current_timestamp())
     assert rows(moved, "template_id", "family_id") == [(1, "new"), (2, "b"), (3, "c")]
     assert rows(rejected, "template_id") == [(3,)]
+
+
+def test_select_slides(table):
+    slides = table([(1, i) for i in range(1, 6)], "deck int, slide_index int")
+    assert rows(layout.select_slides(slides, None), "slide_index") == [(i,) for i in range(1, 6)]
+    assert rows(layout.select_slides(slides, [4, 2, 4, 9]), "slide_index") == [(2,), (4,)]
+    for wrong in ([], [0], [-1, 2]):
+        with pytest.raises(ValueError, match="1-based"):
+            layout.select_slides(slides, wrong)
+
+
+def test_covered_boxes_equal_the_greedy_loop(table):
+    """Boxes fall only to larger ones that stay, also along chains that shift step by step."""
+    rng = random.Random(8)
+    boxes = {0: [(10 * i, 0, 100 - i, 100) for i in range(25)]}
+    boxes |= {s: [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 90), rng.randrange(1, 90)) for _ in range(60)] for s in range(1, 5)}
+    data = [(s, i, *b) for s, own in boxes.items() for i, b in enumerate(own)]
+    got = rows(shapes.suppress_covered(table(data, "slide int, shape_id int, x_pt int, y_pt int, w_pt int, h_pt int"), ["slide"]), "slide", "shape_id")
+    want = []
+    for slide, own in boxes.items():
+        kept = []
+        for x, y, w, h in sorted(set(own), key=lambda b: (-b[2] * b[3], b)):
+            if all(max(0, min(x + w, a + d) - max(x, a)) * max(0, min(y + h, b + e) - max(y, b)) / (w * h) < 0.75 for a, b, d, e in kept):
+                kept.append((x, y, w, h))
+        want += [(slide, i) for i, b in enumerate(own) if b in kept]
+    assert got == sorted(want)
