@@ -1,6 +1,6 @@
 """Streaming queries: the stream's final table against the batch answer in SQL.
 
-The events table is one file; each stream reads it through the file source and runs to the end.
+Tables arrive in parts; each stream reads what is there through the file source, runs to the end and is started again for the next part.
 """
 
 from __future__ import annotations
@@ -15,9 +15,22 @@ from deckloom.streaming import events as st
 c = F.col
 
 
-def job_events(t):
-    """The events table as a stream of job events."""
-    raw = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+#: Parts in which a table arrives; the stream is started anew for each.
+PARTS = 4
+
+
+def in_parts(t, table, key: str, run) -> None:
+    """Let a table arrive in parts of rising key: each is added to a folder, and ``run`` gets the folder's stream."""
+    path = shared_dir(t.spark, "arriving")
+    least, most = table.agg(F.min(key), F.max(key)).first()
+    part = F.floor((c(key) - least) * PARTS / (most - least + 1))
+    for i in range(PARTS):
+        table.filter(part == i).write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(table.schema).parquet(path))
+
+
+def job_events(raw):
+    """The events table's rows as job events."""
     kind = c("event_type")
     status = (F.when(kind == "signup", "queued").when(kind == "view", "running").when(kind == "click", "reviewing")
               .when(kind == "purchase", "succeeded").otherwise("failed"))
@@ -37,7 +50,7 @@ STATUS_CTE = """ev AS (SELECT user_id AS job_id, event_id AS sequence, ts AS cre
 SELECT job_id, sequence, status FROM ev LEFT JOIN fi USING (job_id) WHERE sequence > 10 AND (last IS NULL OR sequence <= last)""")
 def st01(t):
     path = shared_dir(t.spark, "tail")
-    st.tail_stream(job_events(t), f"{path}/log", f"{path}/checkpoint")
+    in_parts(t, t.events, "event_id", lambda raw: st.tail_stream(job_events(raw), f"{path}/log", f"{path}/checkpoint"))
     return st.tail_events(t.spark.read.parquet(f"{path}/log"), 10).select("job_id", "sequence", "status")
 
 
@@ -46,7 +59,7 @@ SELECT job_id, max(sequence) AS last_sequence, arg_max(status, sequence) AS stat
  arg_max(stage, sequence) FILTER (stage IS NOT NULL) AS stage, CAST(min(created_at) FILTER (status = 'running') AS VARCHAR) AS started_at FROM ev GROUP BY 1""")
 def st02(t):
     path = shared_dir(t.spark, "job-state")
-    st.job_state_stream(job_events(t), f"{path}/state", f"{path}/checkpoint")
+    in_parts(t, t.events, "event_id", lambda raw: st.job_state_stream(job_events(raw), f"{path}/state", f"{path}/checkpoint"))
     return st.read_job_state(t.spark, f"{path}/state").select(
         "job_id", "last_sequence", "status", "progress", "stage", c("started_at").cast("string").alias("started_at"))
 
@@ -55,7 +68,7 @@ def st02(t):
 SELECT job_id, min(sequence) AS breach_at, CAST(min(spent) AS DOUBLE) / 1000000 AS spent_usd FROM rs WHERE spent > 100000 GROUP BY 1""")
 def st03(t):
     path = shared_dir(t.spark, "spend")
-    st.spend_monitor(job_events(t), 0.1, f"{path}/spend", f"{path}/checkpoint")
+    in_parts(t, t.events, "event_id", lambda raw: st.spend_monitor(job_events(raw), 0.1, f"{path}/spend", f"{path}/checkpoint"))
     return st.read_breaches(t.spark, f"{path}/spend")
 
 
@@ -67,10 +80,13 @@ def st05(t):
     from deckloom.streaming.templates import ingest_templates
 
     path = shared_dir(t.spark, "templates")
-    raw = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.sf_dir}/documents*.parquet")
-    # Equal lengths stand for equal renders: their hashes agree, others are far apart.
-    decks = raw.select(c("doc_id").alias("template_id"), F.sha2("text", 256).alias("sha256"),
-                       F.substring(F.sha2(c("n_chars").cast("string"), 256), 1, 16).alias("phash"),
-                       (c("n_chars") % 5).alias("slide_count"), F.array("lang").alias("archetypes"))
-    ingest_templates(decks, path, f"{path}/checkpoint")
+
+    def run(raw):
+        # Equal lengths stand for equal renders: their hashes agree, others are far apart.
+        decks = raw.select(c("doc_id").alias("template_id"), F.sha2("text", 256).alias("sha256"),
+                           F.substring(F.sha2(c("n_chars").cast("string"), 256), 1, 16).alias("phash"),
+                           (c("n_chars") % 5).alias("slide_count"), F.array("lang").alias("archetypes"))
+        ingest_templates(decks, path, f"{path}/checkpoint")
+
+    in_parts(t, t.documents, "doc_id", run)
     return t.spark.read.parquet(f"{path}/templates").select("template_id", "family_id")

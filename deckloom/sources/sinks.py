@@ -95,3 +95,23 @@ def catalog_append(new: DataFrame, path: str, key: str = "sha256") -> None:
     if have is not None:
         rows = rows.join(have.select(key), key, "left_anti")
     rows.write.mode("append").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def folders(spark: SparkSession, path: str) -> list[int]:
+    """The batch numbers of the folders ``batch=`` that were written whole below a path, rising; none if there is no such path."""
+    where, fs = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(where) if s.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n.partition("=")[2]) for p, n in names if n.startswith("batch=") and fs.exists(done(p, "_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)

@@ -6,13 +6,14 @@ so a lost executor or a restarted query leaves each event counted once.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from deckloom.operators.gates import micro_usd
-from deckloom.operators.skew import first_by, running_sum
-from deckloom.sources.sinks import existing
+from deckloom.operators.skew import first_by
+from deckloom.sources.sinks import folders, remove
 
 c = F.col
 
@@ -92,65 +93,102 @@ def job_state(events: DataFrame) -> DataFrame:
     return _shown(_state(events))
 
 
+#: Batches of changes that are merged into one table of all jobs.
+MERGE_EVERY = 8
+
+
 def job_state_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The same over a stream: partial sums per task, one small state row per job, changed jobs out."""
-    return run_to_end(_state(stream), lambda df, n: _write_batch(df, path, n), checkpoint, "update")
+    """The same over a stream: partial sums per task, one small state row per job, changed jobs out.
+
+    A batch writes the jobs that it changed to ``path``/changes. Every ``MERGE_EVERY`` batches they are merged with the last table of all jobs into a
+    new one in ``path``/merged; what the table before it was made of goes then, so that any batch can be replayed and the number of folders
+    stays bounded.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _write_batch(batch, f"{path}/changes", number)
+        if (number + 1) % MERGE_EVERY:
+            return
+        _newest_rows(spark, path, number).write.mode("overwrite").parquet(f"{path}/merged/batch={number}")
+        kept = max((m for m in folders(spark, f"{path}/merged") if m < number), default=-1)
+        for part in ("changes", "merged"):
+            for old in folders(spark, f"{path}/{part}"):
+                if old < kept or (old == kept and part == "changes"):
+                    remove(spark, f"{path}/{part}/batch={old}")
+
+    return run_to_end(_state(stream), each, checkpoint, "update")
+
+
+def _newest_rows(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    """Newest state row of each job up to a batch: of the last merged table before it and the changes since."""
+    merged = max((m for m in folders(spark, f"{path}/merged") if m < upto), default=-1)
+    parts = [(n, f"{path}/changes/batch={n}") for n in folders(spark, f"{path}/changes") if merged < n <= upto]
+    parts += [(merged, f"{path}/merged/batch={merged}")] if merged >= 0 else []
+    rows = None
+    for number, folder in parts:
+        part = spark.read.parquet(folder).withColumn("_batch", F.lit(number))
+        rows = part if rows is None else rows.unionByName(part)
+    body = [n for n in rows.columns if n not in ("job_id", "_batch")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*body), "_batch").alias("_r")).select("job_id", "_r.*")
 
 
 def read_job_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state row of each job from the batches written so far."""
-    rows = spark.read.parquet(path)
-    body = [n for n in rows.columns if n not in ("job_id", "batch")]
-    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*body), "batch").alias("_r"))
-    return _shown(last.select("job_id", "_r.*"))
+    """Newest state row of each job from the batches written so far: one merged table and a few batches of changes."""
+    return _shown(_newest_rows(spark, path, max(folders(spark, f"{path}/changes") + folders(spark, f"{path}/merged")) + 1))
 
 
 # ---- spend -------------------------------------------------------------------------------------
 
 
+class _Spend(StatefulProcessor):
+    """Running cost of one job: its last sequence, cost in millionths and whether the budget was passed before."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spend = handle.getValueState("spend", "last_sequence long, micro long, breached boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
+        given = pd.concat(list(rows)).groupby("sequence")["micro"].min().sort_index()
+        last, spent, breached = self.spend.get() if self.spend.exists() else (None, 0, False)
+        late = given.iloc[:0] if last is None else given[given.index <= last]
+        fresh = given if last is None else given[given.index > last]
+        out = [(key[0], "late", int(sequence), None) for sequence in late.index]
+        if len(fresh):
+            total = fresh.cumsum() + spent
+            over = total[total > self.limit]
+            if len(over) and not breached:
+                out.append((key[0], "breach", int(over.index[0]), int(over.iloc[0])))
+            self.spend.update((int(fresh.index[-1]), int(total.iloc[-1]), bool(breached or len(over))))
+        yield pd.DataFrame(out, columns=["job_id", "kind", "sequence", "micro"]).astype({"micro": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def spend_monitor(stream: DataFrame, max_usd: float, path: str, checkpoint: str) -> StreamingQuery:
     """Emit each job once, at the row where its running cost passes the budget.
 
-    ``path``/state holds one row for each job as of each batch (last sequence, cost, breached), and a batch
-    reads the newest one only. The running cost inside a batch is split by sequence ranges, so a job with a third of all events
-    is no single task's work. A repeated sequence number counts once. Rows that come after a later
-    sequence of their job was already counted break the order: they change nothing and are kept in
-    ``path``/late for ``read_late``.
+    Each job has one value in the state store (last sequence, cost, breached), so a batch costs what the jobs that it changes cost, however many
+    there are. A repeated sequence number counts once. Rows that come after a later sequence of their job was already counted break the order: they
+    change nothing and are kept for ``read_late``. State that outlives a job is what tells its late rows from new ones, so it stays.
     """
-    limit = round(max_usd * 1_000_000)
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.groupBy("job_id", "sequence").agg(F.min(micro_usd()).alias("_m"))
-        written = existing(spark, f"{path}/state")
-        newest = None if written is None else written.filter(c("batch") < number).agg(F.max("batch")).first()[0]
-        if newest is None:
-            nothing = F.lit(None).cast("bigint")
-            state = rows.select("job_id", nothing.alias("last_sequence"), nothing.alias("micro"), F.lit(False).alias("breached")).limit(0)
-        else:
-            state = written.filter(c("batch") == newest).drop("batch")
-        joined = rows.join(state, "job_id", "left")
-        late = F.coalesce(c("sequence") <= c("last_sequence"), F.lit(False))
-        fresh = joined.filter(~late)
-        spent = running_sum(fresh, ["job_id"], ["sequence"], "_m", "_in_batch").withColumn(
-            "spent", c("_in_batch") + F.coalesce(c("micro"), F.lit(0)))
-        over = spent.filter((c("spent") > limit) & ~F.coalesce(c("breached"), F.lit(False))).groupBy("job_id").agg(
-            F.min("sequence").alias("breach_at"), F.min("spent").alias("micro"))
-        added = fresh.groupBy("job_id").agg(F.max("sequence").alias("last_sequence"), F.sum("_m").alias("micro"))
-        both = state.unionByName(added.withColumn("breached", F.lit(False))).groupBy("job_id").agg(
-            F.max("last_sequence").alias("last_sequence"), F.sum("micro").alias("micro"), F.bool_or("breached").alias("breached"))
-        _write_batch(joined.filter(late).select("job_id", "sequence"), f"{path}/late", number)
-        _write_batch(over, f"{path}/breaches", number)
-        _write_batch(both.withColumn("breached", c("breached") | (c("micro") > limit)), f"{path}/state", number)
-
-    return run_to_end(stream, each, checkpoint)
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select("job_id", c("sequence").cast("bigint").alias("sequence"), micro_usd().cast("bigint").alias("micro"))
+    job_type = rows.schema["job_id"].dataType.simpleString()
+    found = rows.groupBy("job_id").transformWithStateInPandas(
+        _Spend(round(max_usd * 1_000_000)), f"job_id {job_type}, kind string, sequence long, micro long", "append", "none")
+    return run_to_end(found, lambda df, n: _write_batch(df, path, n), checkpoint)
 
 
 def read_late(spark: SparkSession, path: str) -> DataFrame:
     """Rows that came too late to count: (job_id, sequence)."""
-    return spark.read.parquet(f"{path}/late").select("job_id", "sequence")
+    return spark.read.parquet(path).filter("kind = 'late'").select("job_id", "sequence")
 
 
 def read_breaches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/breaches").select(
-        "job_id", "breach_at", (c("micro") / 1_000_000).alias("spent_usd"))
+    return spark.read.parquet(path).filter("kind = 'breach'").select(
+        "job_id", c("sequence").alias("breach_at"), (c("micro") / 1_000_000).alias("spent_usd"))

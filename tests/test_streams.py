@@ -1,11 +1,14 @@
 """Streams over several batches must end at the batch answer."""
 
+import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from deckloom.operators.gates import budget_breach
 from deckloom.session import shared_dir
+from deckloom.sources.sinks import folders
 from deckloom.streaming import events as ev
 from deckloom.streaming.templates import import_templates, ingest_templates
 
@@ -68,9 +71,25 @@ def test_spend(spark, log):
     ev.spend_monitor(ev.event_stream(spark, path, 1), 0.5, f"{out}/spend", f"{out}/ck")
     assert ev.read_late(spark, f"{out}/spend").count() == seen
     assert rows(ev.read_breaches(spark, f"{out}/spend"), "job_id", "breach_at") == rows(want, "job_id", "breach_at")
-    state = spark.read.parquet(f"{out}/spend/state")
-    newest = state.filter(F.col("batch") == state.agg(F.max("batch")).first()[0])
-    assert newest.count() == newest.select("job_id").distinct().count() == batch.select("job_id").distinct().count()
+    state = spark.read.format("statestore").option("stateVarName", "spend").load(f"{out}/ck")
+    assert state.count() == batch.select("job_id").distinct().count()
+
+
+def test_job_state_folders_stay_few(spark, tmp_path, table):
+    """Twenty batches, a restart before each, and the last merge done twice."""
+    path, out = str(tmp_path / "log"), shared_dir(spark, "test-merge")
+    schema = "job_id int, sequence bigint, created_at timestamp, status string, progress double, stage string"
+    now = datetime.datetime(2024, 1, 1)
+    data = [[(j, 10 * i + j, now, "running" if i < 19 else "succeeded", i / 20, f"s{i}") for j in range(i % 3, 5)] for i in range(20)]
+    for part in data:
+        table(part, schema).coalesce(1).write.mode("append").parquet(path)
+        ev.job_state_stream(ev.event_stream(spark, path, 1), f"{out}/state", f"{out}/ck")
+    cols = ["job_id", "last_sequence", "status", "progress", "stage", "started_at", "finished_at"]
+    want = rows(ev.job_state(spark.read.parquet(path)), *cols)
+    assert rows(ev.read_job_state(spark, f"{out}/state"), *cols) == want
+    assert len(folders(spark, f"{out}/state/changes")) + len(folders(spark, f"{out}/state/merged")) <= 2 * ev.MERGE_EVERY + 2
+    ev._newest_rows(spark, f"{out}/state", 15).write.mode("overwrite").parquet(f"{out}/state/merged/batch=15")
+    assert rows(ev.read_job_state(spark, f"{out}/state"), *cols) == want
 
 
 def test_template_import(spark, tmp_path, table):
