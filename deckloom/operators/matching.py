@@ -205,7 +205,7 @@ def closest_counts(source: DataFrame, catalog: DataFrame, kinds: list[str]) -> D
     asked = source.select("source_sig", held.alias("own"), own.alias("kinds"), _step(total).alias("own_step"))
     listed = cells.withColumn("kind", F.explode("kinds"))
     near = asked.select("source_sig", "own", "own_step", F.explode(F.sequence(c("own_step") - 1, c("own_step") + 1)).alias("step"),
-                        F.element_at("kinds", 1).alias("kind"))
+                        F.get("kinds", F.lit(0)).alias("kind"))
     seeds = near.join(listed.select("step", "kind", "lent"), ["step", "kind"]).groupBy("source_sig").agg(
         F.max(_overlap("own", "lent", kinds)).alias("reached"))
     reached = materialize(asked.join(seeds, "source_sig", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0))), "family-seeds")
@@ -216,7 +216,7 @@ def closest_counts(source: DataFrame, catalog: DataFrame, kinds: list[str]) -> D
     wide = wide.withColumn("kind", F.explode("kinds"))
     # A cell meets a row once, at the first kind that both have.
     met = wide.join(listed.select("step", "kind", "cell", "box", c("kinds").alias("theirs")), ["step", "kind"]).where(
-        (F.element_at(F.array_intersect("kinds", "theirs"), 1) == c("kind"))
+        (F.get(F.array_intersect("kinds", "theirs"), F.lit(0)) == c("kind"))
         & (_overlap("own", "box", kinds, "least_", "most_") + LEEWAY >= c("reached")))
     pairs = met.select("source_sig", "own", "cell", "step").join(
         placed.select("cell", "step", "family_id", held.alias("other")), ["cell", "step"])

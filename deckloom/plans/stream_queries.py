@@ -1,6 +1,6 @@
 """Streaming queries: the stream's final table against the batch answer in SQL.
 
-Tables arrive in parts; each stream reads what is there through the file source, runs to the end and is started again for the next part.
+The events arrive in parts; their streams read what is there through the file source, run to the end and are started again for the next part.
 """
 
 from __future__ import annotations
@@ -80,13 +80,10 @@ def st05(t):
     from deckloom.streaming.templates import ingest_templates
 
     path = shared_dir(t.spark, "templates")
-
-    def run(raw):
-        # Equal lengths stand for equal renders: their hashes agree, others are far apart.
-        decks = raw.select(c("doc_id").alias("template_id"), F.sha2("text", 256).alias("sha256"),
-                           F.substring(F.sha2(c("n_chars").cast("string"), 256), 1, 16).alias("phash"),
-                           (c("n_chars") % 5).alias("slide_count"), F.array("lang").alias("archetypes"))
-        ingest_templates(decks, path, f"{path}/checkpoint")
-
-    in_parts(t, t.documents, "doc_id", run)
+    raw = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.sf_dir}/documents*.parquet")
+    # Equal lengths stand for equal renders: their hashes agree, others are far apart.
+    decks = raw.select(c("doc_id").alias("template_id"), F.sha2("text", 256).alias("sha256"),
+                       F.substring(F.sha2(c("n_chars").cast("string"), 256), 1, 16).alias("phash"),
+                       (c("n_chars") % 5).alias("slide_count"), F.array("lang").alias("archetypes"))
+    ingest_templates(decks, path, f"{path}/checkpoint")
     return t.spark.read.parquet(f"{path}/templates").select("template_id", "family_id")

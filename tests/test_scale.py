@@ -167,7 +167,7 @@ def test_family_match_equals_brute_force(table):
         return out
 
     decks, families = slides_of(80, 0), slides_of(70, 100)
-    decks[999] = ["process"]
+    decks[999], decks[998] = ["process"], ["unknown"]
     got = catalog.family_match(table([(d, k) for d, ks in decks.items() for k in ks], "deck int, archetype string"),
                                table([(f, k) for f, ks in families.items() for k in ks], "family_id int, archetype string"), "deck")
     want = []
