@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding of slide texts.
 
-Each partition keeps a small DuckDB database of the merge table. Distinct chunks of text become rows of
+Each partition keeps a small DuckDB database of the merge table. Distinct words become rows of
 (word, position, token); a recursive query joins neighbouring positions with the merge
 table and contracts, in every word, the leftmost pair of least rank until no pair is left. Decoding
 joins the ids of texts with the token table and puts the bytes together by ordered aggregation.
@@ -11,8 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import sys
-import unicodedata
+import tempfile
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,7 +25,7 @@ from deckloom.llm.common import give_back, packed, unpacked
 
 #: Characters of text handled at once, words of one recursive query, tokens of one decoding query.
 SLICE_CHARS, WORDS_AT_ONCE, TOKENS_AT_ONCE = 1 << 20, 30_000, 1 << 17
-#: Distinct chunks that a worker remembers before it starts anew.
+#: Distinct words (matches of the pattern) that a worker remembers before it starts anew.
 REMEMBERED = 200_000
 #: White space as Unicode defines it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,7 +46,7 @@ WITH RECURSIVE step(w, p, t, done) AS (
 SELECT w, list(t ORDER BY p) AS ids FROM step WHERE done GROUP BY w ORDER BY w"""
 
 DECODE = """
-SELECT text_no, part_no, string_agg(hex, '' ORDER BY p) AS hex
+SELECT text_no, part_no, string_agg(piece, '' ORDER BY p) AS piece
 FROM ids JOIN tokens USING (t) GROUP BY text_no, part_no ORDER BY text_no, part_no"""
 
 
@@ -56,23 +55,26 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
 
 
-def _ranges(kind: str) -> str:
-    """Characters of a general category, as ranges of a pattern's class."""
-    held, first = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == kind
-        if inside and first is None:
-            first = c
-        elif not inside and first is not None:
-            held.append(f"\\U{first:08x}-\\U{c - 1:08x}")
-            first = None
-    return "".join(held)
+def _ranges(pattern: str) -> str:
+    """Characters that a class of the tokenizer library matches, as ranges of a pattern's class.
+
+    The library is asked itself, as its Unicode tables may be of another version than Python's: with the class as its pattern, all that it
+    encodes of a text of all characters is what the class matches.
+    """
+    import tiktoken
+
+    library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    points = np.frombuffer(bytes(library.encode_ordinary("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))).decode().encode(
+        "utf-32-le"), "<u4").astype(np.int64)
+    breaks = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = points[np.r_[0, breaks + 1]], points[np.r_[breaks, len(points) - 1]]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True))
 
 
 @cache
 def splitter(pattern: str) -> re.Pattern:
     """A pattern with Unicode classes, for Python's own expressions."""
-    letters, numbers = _ranges("L"), _ranges("N")
+    letters, numbers = _ranges(r"\p{L}"), _ranges(r"\p{N}")
     inside = lambda text: text.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", SPACE)
     spelled = re.sub(r"\[\^?[^\]]*\]", lambda m: inside(m[0]), pattern)
     spelled = spelled.replace(r"\S", f"[^{SPACE}]")
@@ -82,20 +84,6 @@ def splitter(pattern: str) -> re.Pattern:
             r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{SPACE}]") for part in outside))
 
 
-#: A space ahead of anything but white space begins a chunk: no match of the pattern reaches over it.
-_CUT = re.compile(f"(?<!^)(?= [^{SPACE}])")
-_ODD = re.compile(f" (?=[{SPACE}]|$)")
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut ahead of each space that a word follows."""
-    if _ODD.search(text):
-        return [c for c in _CUT.split(text) if c]
-    first, *rest = text.split(" ")
-    words = [" " + w for w in rest]
-    return [first, *words] if first else words
-
-
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -103,7 +91,7 @@ class Codec:
         import duckdb
 
         self.ranks, self.split = ranks, splitter(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp()})
         first, second, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -112,15 +100,15 @@ class Codec:
                     first.append(a), second.append(b), merged.append(rank)
         held = pa.table({n: pa.array(v, pa.int32()) for n, v in zip(
             ("first", "second", "merged"), (first, second, merged), strict=True)})
-        names = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        names = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
         for name, rows in (("merges", held), ("tokens", names)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(lengths) - lengths
         self.db.register("words", pa.table({
@@ -129,32 +117,36 @@ class Codec:
             "t": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]}))
         ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("words")
-        flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks: their matches of the pattern, each by itself."""
-        matches = [[m.encode("utf-8", "surrogatepass") for m in self.split(c)] for c in new]
-        ids = {m: np.array([self.ranks[m]], "<u4") for ms in matches for m in ms if m in self.ranks}
-        open_words = list({m for ms in matches for m in ms if m not in self.ranks})
+    def _learn(self, new: set[str]) -> None:
+        """Encode matches of the pattern that were not met before; those that are tokens need no contraction."""
+        words, ranks, open_words = self.words, self.ranks, []
+        for word in new:
+            token = word.encode("utf-8", "surrogatepass")
+            rank = ranks.get(token)
+            if rank is None:
+                open_words.append((word, token))
+            else:
+                words[word] = rank.to_bytes(4, "little")
         at, size = 0, 0
-        for i, word in enumerate(open_words):
-            size += len(word)
+        for i, (_, token) in enumerate(open_words):
+            size += len(token)
             if i + 1 - at >= WORDS_AT_ONCE or size >= 16 * WORDS_AT_ONCE or i + 1 == len(open_words):
-                ids.update(zip(open_words[at:i + 1], self._contract(open_words[at:i + 1]), strict=True))
+                own = open_words[at:i + 1]
+                words.update(zip([w for w, _ in own], self._contract([t for _, t in own]), strict=True))
                 at, size = i + 1, 0
-        for c, ms in zip(new, matches, strict=True):
-            self.known[c] = b"".join(ids[m].tobytes() for m in ms)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [chunks(t) for t in texts]
-        new = list({c for cs in cut for c in cs if c not in self.known})
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        cut, words = [self.split(t) for t in texts], self.words
+        new = set().union(*cut).difference(words)
         if new:
             self._learn(new)
-        return [b"".join([self.known[c] for c in cs]) for cs in cut]
+        return [b"".join([words[m] for m in ms]) for ms in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -180,8 +172,8 @@ class Codec:
             "p": np.arange(len(flat), dtype=np.int32), "t": flat}))
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("ids")
-        for i, text in zip(found.column("text_no").to_pylist(), found.column("hex").to_pylist(), strict=True):
-            out[i] += bytes.fromhex(text)
+        for i, text in zip(found.column("text_no").to_pylist(), found.column("piece").to_pylist(), strict=True):
+            out[i] += text.encode("latin-1")
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -215,7 +207,8 @@ def encode_slides(slides: DataFrame, rank_file: str, pattern: str, keep_ids: boo
     bounded); ``pattern``: the pattern whose matches are encoded separately. ``tokens`` holds
     ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers), ``decoded_sha256``
     (of the bytes that the ids decode to) and, if ``keep_ids``, ``ids`` (those bytes of the ids). A null text is an empty one: no
-    tokens. Texts of any length are encoded whole, repeated rows alike, an empty table stays empty; a column
+    tokens. Words that are tokens, and words met before, need no query; all others are contracted, in time that grows with the square of a
+    single word's length. Texts of any length are encoded whole, repeated rows alike, an empty table stays empty; a column
     ``tokens`` that was there before is replaced.
     """
     with open(rank_file, "rb") as file:
