@@ -26,12 +26,6 @@ SYMBOLS = "[#*$%&|<>]"
 FORMS = (("[\\p{Ll}\\p{Lo}\\p{M}]+", "a"), ("\\p{Lu}+", "A"), ("\\p{Nd}+", "0"), ("([^aA0\\x20\\x09-\\x0D])\\1+", "$1"))
 
 
-def _buckets(gram: Column) -> tuple[Column, Column]:
-    """The buckets of a word and of the pair of forms that it begins."""
-    return tuple(F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int") for parts in (
-        (gram["word"],), (gram["form"], gram["then"], F.lit(2))))
-
-
 def _forms(text: Column) -> Column:
     """The words of a text with runs of letters, capitals, digits and of one symbol cut to one sign."""
     short = F.coalesce(text, F.lit(""))
@@ -40,11 +34,15 @@ def _forms(text: Column) -> Column:
     return word_list(short)
 
 
-def _grams(text: Column) -> Column:
-    """For each word of a text: ``word``, its ``form``, and the form ``then`` of the next word (null at the end)."""
-    return let(_forms(text), lambda forms: F.arrays_zip(
-        word_list(text).alias("word"), forms.alias("form"),
-        F.slice(forms, 2, F.greatest(F.size(forms), F.lit(1))).alias("then")))
+def _bucket(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+
+
+def gram_buckets(words: Column, text: Column) -> Column:
+    """The buckets of a text's words, then those of the pairs of forms that each word begins (the last one alone), as one array of numbers."""
+    pairs = let(_forms(text), lambda forms: F.zip_with(
+        forms, F.slice(forms, 2, F.greatest(F.size(forms), F.lit(1))), lambda form, then: _bucket(form, then, F.lit(2))))
+    return F.concat(F.transform(words, lambda word: _bucket(word)), pairs)
 
 
 def trusted_sample(trusted: DataFrame, most: int = TRUSTED_SLIDES) -> DataFrame:
@@ -61,8 +59,8 @@ def fit_ratios(slides: DataFrame, trusted: DataFrame, most: int = TRUSTED_SLIDES
     are near zero and nothing is rejected by them.
     """
     marks = F.broadcast(trusted_sample(trusted, most).withColumn("_trusted", F.lit(1)))
-    rows = slides.select("slide_id", F.explode(_grams(F.col("text"))).alias("_g")).join(marks, "slide_id", "left")
-    grams = rows.select("_trusted", F.explode(F.array(*_buckets(F.col("_g")))).alias("bucket"))
+    grams = slides.select("slide_id", "text").join(marks, "slide_id", "left").select(
+        "_trusted", F.explode(gram_buckets(word_list(F.col("text")), F.col("text"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("_trusted").alias("n_trusted"))
     every = slides.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select(
@@ -76,14 +74,10 @@ def fit_ratios(slides: DataFrame, trusted: DataFrame, most: int = TRUSTED_SLIDES
             F.lit(0.0))).alias("ratios"))
 
 
-def mean_ratio(text: Column, ratios: Column) -> Column:
+def mean_ratio(buckets: Column, ratios: Column) -> Column:
     """Mean of the ratios of a text's n-grams; zero without words."""
-    def add(total: Column, gram: Column, held: Column) -> Column:
-        of_word, of_forms = (F.element_at(held, bucket + 1) for bucket in _buckets(gram))
-        return total + of_word + of_forms
-
-    return let(_grams(text), lambda grams: let(ratios, lambda held: F.aggregate(
-        grams, F.lit(0.0), lambda total, gram: add(total, gram, held))) / F.greatest(F.size(grams) * 2, F.lit(1)))
+    total = let(ratios, lambda held: F.aggregate(buckets, F.lit(0.0), lambda t, bucket: t + F.element_at(held, bucket + 1)))
+    return total / F.greatest(F.size(buckets), F.lit(1))
 
 
 def repeated_words(words: Column) -> Column:
@@ -92,9 +86,10 @@ def repeated_words(words: Column) -> Column:
     Windows are compared by 64-bit hashes. The hashes that occur again are found by sorting and
     parted by remainder, so that the look-up of each window stays short in long texts as well.
     """
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    windows = F.transform(F.arrays_zip(*[F.slice(words, i, n).alias(f"w{i}") for i in (1, 2, 3)]),
-                          lambda w: F.xxhash64(w["w1"], w["w2"], w["w3"]))
+    def windows(hashes: Column) -> Column:
+        n = F.greatest(F.size(hashes) - 2, F.lit(0))
+        first, second, third = (F.slice(hashes, i, n) for i in (1, 2, 3))
+        return F.zip_with(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), third, lambda ab, c: F.xxhash64(ab, c))
 
     def again(hashes: Column) -> Column:
         less = F.greatest(F.size(hashes) - 1, F.lit(0))
@@ -110,8 +105,10 @@ def repeated_words(words: Column) -> Column:
         return let(starts, lambda s: F.aggregate(
             F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.least(b - a, F.lit(3))), F.lit(0), lambda t, x: t + x))
 
-    return let(windows, lambda hashes: let(again(F.sort_array(hashes)), lambda twice: F.when(
-        F.size(twice) == 0, F.lit(0)).otherwise(covered(hashes, twice)))).cast("bigint")
+    held = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    # Most texts have no window twice: that much is found without sorting.
+    return let(held, lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
+        let(again(F.sort_array(hashes)), lambda twice: covered(hashes, twice)))).cast("bigint")
 
 
 def quality_rules(slides: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,10 +124,10 @@ def quality_rules(slides: DataFrame, ratios: DataFrame, threshold: float = THRES
     rows = packed(slides, "text").withColumn("_words", word_list(F.col("text"))).withColumn("_lines", lines)
     n_words = F.size("_words").cast("bigint")
     rows = rows.withColumn("_repeat", repeated_words(F.col("_words"))).withColumn("_ratios", ratios.select("ratios").scalar())
-    rows = rows.withColumn("_ratio", mean_ratio(F.col("text"), F.col("_ratios")))
+    rows = rows.withColumn("_buckets", gram_buckets(F.col("_words"), F.col("text"))).withColumn("_ratio", mean_ratio(F.col("_buckets"), F.col("_ratios")))
     failed = (n_words < LEAST_WORDS) | (100 * F.col("_repeat") > MOST_REPEATED * n_words)
     counts = F.struct(
-        n_words.alias("n_words"), (F.length(text) - F.regexp_count(text, F.lit(f"[{BLANK}]"))).cast("bigint").alias("word_chars"),
+        n_words.alias("n_words"), F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"), failed.alias("base_failed"), F.col("_ratio").alias("ratio"),
